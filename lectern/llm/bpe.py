@@ -228,17 +228,18 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, ids`` (packed, see :meth:`Vocabulary.encode`) and ``decoded`` text; one pass, no shuffle."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
+    """``doc_id, ids`` (packed, see :meth:`Vocabulary.encode_all`) and, if asked, ``decoded`` text; one pass, no shuffle."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
         v = vocabulary(path)
         for b in batches:
             ids = v.encode_all([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(map(v.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+            back = [pa.array(map(v.decode, ids), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *back], ["doc_id", "ids", "decoded"][: 2 + len(back)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
