@@ -11,7 +11,7 @@ repeated rows; a null ``doc_id`` takes no part in the minimum; an empty table gi
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +76,7 @@ def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
 def _links(bits: int):
     def run(batches):
         kept = None
-        for b in [*batches, None]:
+        for b in chain(batches, [None]):
             now = None if b is None else np.stack([np.asarray(b.column(i)) for i in range(4)])
             both = now if kept is None else kept if now is None else np.concatenate([kept, now], axis=1)
             if both is None or not both.shape[1]:
