@@ -13,12 +13,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import audio as A
 from lectern.functions import prompts as P
-from lectern.functions import text as T
 from lectern.operators import clips as C
 from lectern.operators import scripts as S
 from lectern.operators import voices as V
@@ -126,10 +125,7 @@ def cast(script: DataFrame, voices: DataFrame, characters: DataFrame, casting: D
     return made.select("book_id", F.explode("casting").alias("speaker_id", "voice_id"))
 
 
-def valid(content, rate=None):
+def valid(content: Column | str) -> Column:
     """Whether stored clips can be used: decodable, finite, audible."""
     return F.coalesce(A.audible(wav.decoded(content)["samples"]), F.lit(False))
 
-
-def dialogue_digest(dialogue):
-    return T.digest(dialogue)
