@@ -49,7 +49,7 @@ def to_mono(channels: Column) -> Column:
     """Mean of an array of channels; channels of different length end with the shortest."""
     n = F.size(channels)
     least = F.array_min(F.transform(channels, F.size))
-    total = F.aggregate(F.slice(channels, 2, n), _double(F.slice(channels[0], 1, least)), lambda a, c: F.zip_with(a, _double(F.slice(c, 1, least)), lambda x, y: x + y))
+    total = F.aggregate(F.slice(channels, 2, n), _double(F.slice(F.get(channels, 0), 1, least)), lambda a, c: F.zip_with(a, _double(F.slice(c, 1, least)), lambda x, y: x + y))
     return F.transform(total, lambda x: x / n)
 
 

@@ -113,7 +113,7 @@ def chunk_text(docs: DataFrame, limit: int = 0, key: str = "doc_id") -> DataFram
 def paragraphs(df: DataFrame, column: str = "text") -> DataFrame:
     """Rows of ``df`` once for each paragraph: ``para`` from 0 and the paragraph in place of the text."""
     others = [c for c in df.columns if c != column]
-    return df.select(*others, F.posexplode(F.split(column, "(?U)" + PARAGRAPHS)).alias("para", column))
+    return df.select(*others, F.posexplode_outer(F.split(column, "(?U)" + PARAGRAPHS)).alias("para", column)).where("para is not null")
 
 
 def pieces(df: DataFrame, limit: int = 300, column: str = "text") -> DataFrame:

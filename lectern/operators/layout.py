@@ -75,6 +75,10 @@ def modal_size(measured: Column) -> Column:
 
 def reading_order(boxes: Column, width: Column) -> Column:
     """Blocks (structs with ``bbox``) in reading order: wide ones above, left column, right column, the other wide ones."""
+    return _let(boxes, lambda held: _reading_order(held, width))
+
+
+def _reading_order(boxes: Column, width: Column) -> Column:
     span = lambda b: b["bbox"]["x1"] - b["bbox"]["x0"]
     narrow = lambda b: span(b) < width * WIDE
     left = lambda b: (b["bbox"]["x0"] + b["bbox"]["x1"]) / 2 < width / 2
@@ -85,8 +89,8 @@ def reading_order(boxes: Column, width: Column) -> Column:
         def band(b: Column) -> Column:
             return F.when(~two, 0).when(narrow(b), F.when(left(b), 1).otherwise(2)).when(b["bbox"]["y0"] < facts["top"] - 4, 0).otherwise(3)
 
-        keyed = F.transform(boxes, lambda b, i: F.struct(band(b).alias("band"), b["bbox"]["y0"].alias("y"), b["bbox"]["x0"].alias("x"), i.alias("i"), b.alias("b")))
-        return F.transform(F.array_sort(F.transform(keyed, lambda k: F.struct(k["band"].alias("band"), k["y"].alias("y"), k["x"].alias("x"), k["i"].alias("i")))), lambda k: F.element_at(boxes, k["i"] + 1))
+        keys = F.transform(boxes, lambda b, i: F.struct(band(b).alias("band"), b["bbox"]["y0"].alias("y"), b["bbox"]["x0"].alias("x"), i.alias("i")))
+        return F.transform(F.array_sort(keys), lambda k: F.element_at(boxes, k["i"] + 1))
 
     facts = F.struct(
         F.size(F.filter(boxes, lambda b: narrow(b) & left(b))).alias("l"),
@@ -170,5 +174,10 @@ def page_parts(pages: DataFrame, lexicon: dict | None = None, ocr=None) -> DataF
 
 
 def segments(parts: DataFrame) -> DataFrame:
-    """``doc_id, page, seg, kind, text`` of the pages that are kept."""
-    return parts.where("state = 'kept'").select("doc_id", "page", F.posexplode("segments").alias("seg", "s")).select("doc_id", "page", "seg", "s.kind", "s.text")
+    """``doc_id, page, seg, kind, text`` of the pages that are kept.
+
+    Outer generators here and elsewhere: of an inner one the optimizer infers a filter on the array's size
+    and pushes it, with all that computes the array, below; so would be a filter on the state.
+    """
+    kept = parts.select("doc_id", "page", F.posexplode_outer(F.when(F.col("state") == "kept", F.col("segments"))).alias("seg", "s")).where("seg is not null")
+    return kept.select("doc_id", "page", "seg", "s.kind", "s.text")

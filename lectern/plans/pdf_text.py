@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import cleanup, layout
+from lectern.sources import shared
 
 
 class Converted(NamedTuple):
@@ -18,9 +19,8 @@ class Converted(NamedTuple):
 
 def convert(pages: DataFrame, lexicon: dict | None = None, ocr: Column | None = None, keep_page_breaks: bool = False, plain: bool = False, names: DataFrame | None = None) -> Converted:
     """Texts of whole books from their page layouts (``doc_id, page, width, height, blocks``)."""
-    parts = layout.page_parts(pages, lexicon, ocr)
-    segments = layout.segments(parts)
-    kept = cleanup.strip_running(segments)
+    parts = shared.written(layout.page_parts(pages, lexicon, ocr), "pages")  # pages are read, and their layout settled, once
+    kept = cleanup.strip_running(layout.segments(parts))
     if keep_page_breaks:
         paragraphs = cleanup.page_breaks(kept, parts.where("state = 'kept'").select("doc_id", "page")).withColumnRenamed("seg", "para")
     else:

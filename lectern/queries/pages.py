@@ -52,7 +52,7 @@ k AS (
 
 @query(f"WITH {KIND_SQL} SELECT doc_id, nth, kind, text FROM k")
 def classify_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = layout.classified(V.layout_pages(spark, sf_dir)).select("doc_id", F.posexplode("parts").alias("nth", "p"))
+    made = layout.classified(V.layout_pages(spark, sf_dir)).select("doc_id", F.posexplode_outer("parts").alias("nth", "p")).where("nth is not null")
     return made.select("doc_id", (F.col("nth") + 1).cast("long").alias("nth"), "p.kind", "p.text")
 
 
@@ -64,7 +64,7 @@ def modal_font(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ORDER_SQL} SELECT doc_id, nth, x0, y0 FROM o")
 def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = V.layout_pages(spark, sf_dir)
-    made = pages.select("doc_id", F.posexplode(layout.reading_order(F.filter("blocks", lambda b: b["type"] == 0), F.col("width"))).alias("nth", "b"))
+    made = pages.select("doc_id", F.posexplode_outer(layout.reading_order(F.filter("blocks", lambda b: b["type"] == 0), F.col("width"))).alias("nth", "b")).where("nth is not null")
     return made.select("doc_id", (F.col("nth") + 1).cast("long").alias("nth"), "b.bbox.x0", "b.bbox.y0")
 
 

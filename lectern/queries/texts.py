@@ -69,7 +69,7 @@ def heading_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, text = F.when(F.col("pos") % 6 < 2, "heading").otherwise("body"), F.when(F.col("pos") % 6 == 0, "CHAPTER").when(F.col("pos") % 6 == 1, F.col("pos").cast("string")).otherwise(F.col("raw"))
     parts = V.raw_lines(spark, sf_dir).select("doc_id", F.floor(F.col("pos") / 7).cast("long").alias("page"), "pos", kind.alias("kind"), text.alias("text"))
     pages = parts.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "text"))).alias("p"))
-    return pages.select("doc_id", "page", F.posexplode(layout.merge_headings(F.col("p"))).alias("nth", "m")).select("doc_id", "page", (F.col("nth") + 1).cast("long").alias("nth"), "m.kind", "m.text")
+    return pages.select("doc_id", "page", F.posexplode_outer(layout.merge_headings(F.col("p"))).alias("nth", "m")).where("nth is not null").select("doc_id", "page", (F.col("nth") + 1).cast("long").alias("nth"), "m.kind", "m.text")
 
 
 PAGE_NUMBER = r"^\s*[-–—]?\s*\d+\s*[-–—]?\s*$"
@@ -197,7 +197,7 @@ def quote_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech in lines of which every fifth is quoted, after a few characters."""
     bare = F.left(F.regexp_replace("raw", "[\"'‘’“”]", ""), F.lit(50))
     line = F.when(F.col("pos") % 5 == 1, F.concat(F.repeat(F.lit("."), (F.col("pos") % 9).cast("int")), F.lit("“"), bare, F.lit("”"), bare)).otherwise(bare)
-    return V.raw_lines(spark, sf_dir).select("doc_id", "pos", F.explode(alignment.quotes(line)).alias("s")).select("doc_id", "pos", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+    return V.raw_lines(spark, sf_dir).select("doc_id", "pos", F.explode_outer(alignment.quotes(line)).alias("s")).where("s is not null").select("doc_id", "pos", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
 @query(r"""

@@ -61,11 +61,13 @@ blocks AS (
 def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, page, width, height, blocks``: the tags of web pages as blocks of a page, and an image on every fourth."""
     pages = table(spark, sf_dir, "pages", "page_id", "html").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.coalesce("html", F.lit("")).alias("html"))
-    both = pages.withColumn("tag", F.regexp_extract_all("html", F.lit(_TAGS), F.lit(1))).withColumn("t", F.regexp_extract_all("html", F.lit(_TAGS), F.lit(2)))
+    # tags and texts are zipped before the lambda: a column used inside one is evaluated for every element
+    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(1)).alias("tag"), F.regexp_extract_all("html", F.lit(_TAGS), F.lit(2)).alias("t"))
+    both = pages.withColumn("found", found)
     y = "CAST(10 + (i * 37 + doc_id * 11) % 780 AS double)"
     box = f"named_struct('x0', CAST({X0} AS double), 'y0', {y}, 'x1', CAST({X1} AS double), 'y1', {y} + 30)"
-    line = f"named_struct('spans', array(named_struct('text', trim(regexp_replace(element_at(t, i + 1), '\\\\s+', ' ')), 'size', CAST({SIZE} AS double), 'bbox', {box})))"
-    text = f"transform(tag, (tag, i) -> named_struct('type', 0, 'bbox', {box}, 'lines', array({line})))"
+    line = f"named_struct('spans', array(named_struct('text', trim(regexp_replace(x.t, '\\\\s+', ' ')), 'size', CAST({SIZE} AS double), 'bbox', {box})))"
+    text = f"transform(found, (x, i) -> named_struct('type', 0, 'bbox', {box}, 'lines', array({line})))".replace("WHEN tag =", "WHEN x.tag =")
     image = "named_struct('type', 1, 'bbox', named_struct('x0', 50D, 'y0', 100D, 'x1', CAST(50 + doc_id % 500 AS double), 'y1', 500D), 'lines', slice(element_at(text, 1).lines, 1, 0))"
     made = both.withColumn("text", F.expr(text))
     return made.withColumn("blocks", F.expr(f"CASE WHEN doc_id % 4 = 0 AND size(text) > 0 THEN concat(text, array({image})) ELSE text END")).select("doc_id", "page", "width", "height", "blocks")
