@@ -106,7 +106,8 @@ def classify(pages: DataFrame, least: int = 0) -> DataFrame:
     last = dealt.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
     again = dealt.join(last.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salt)]))), ["digest", "part"])
     revisits = again.where("page_id <> first or (page_id is null and first is not null)").select(F.col("page_id").alias("id"), "digest", "first").distinct()
-    return sized.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).join(revisits.withColumnRenamed("digest", "own"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left").select("page_id", "url", "html", "digest", "first", F.col("own").isNotNull().alias("revisit"))
+    revisits, _ = common.cut(revisits.withColumnRenamed("digest", "own"), "revisits")  # ids and digests; payloads are joined to a table, not to their own plan
+    return sized.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left").select("page_id", "url", "html", "digest", "first", F.col("own").isNotNull().alias("revisit"))
 
 
 def write(classified: DataFrame, folder: str) -> DataFrame:
