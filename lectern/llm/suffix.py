@@ -390,8 +390,10 @@ def removed(docs: DataFrame) -> DataFrame:
     rows = texts.mapInArrow(_scan, "ah long, ch long, doc long, p long, off int, more int, done boolean")
     met, _ = common.cut(rows.repartition("ah").sortWithinPartitions("ah", "ch", "doc", "p").mapInArrow(_meet, MET), "met")
     apart = met.where("tile is not null")
-    many = apart.where("tile > 0").select("ah").distinct().withColumn("many", F.lit(True))  # fewer than one row in TILE
-    asked = apart.join(many, "ah", "left").groupBy("doc").agg(F.collect_list(F.struct("ah", "tile", "p", "off", "more", F.coalesce("many", F.lit(False)).alias("many"))).alias("asked"))
+    # tiles of anchors that have several, by anchor and tile: no key of the join holds more than one tile's rows
+    top = apart.where("tile > 0").groupBy("ah").agg(F.max("tile").alias("top"))
+    many = top.select("ah", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("tile"), F.lit(True).alias("many"))
+    asked = apart.join(many, ["ah", "tile"], "left").groupBy("doc").agg(F.collect_list(F.struct("ah", "tile", "p", "off", "more", F.coalesce("many", F.lit(False)).alias("many"))).alias("asked"))
     held = texts.join(asked, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "asked")
     cut = held.mapInArrow(_cut_out, "ah long, tile long, doc long, p long, off int, more int, many boolean, text binary")
     sorted_, _ = common.cut(cut.repartition("ah", "tile").sortWithinPartitions("ah", "tile", "doc", "p").mapInArrow(_sort, SORTED), "sorted")
