@@ -36,15 +36,11 @@ LINES, DATE = 3000, "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of a column's SHA-1, in SQL functions: five hex digits are four letters."""
-    letters = F.array(*map(F.lit, BASE32))
-
-    def part(i: Column) -> Column:
-        n = F.conv(F.substring(F.sha1(payload), i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.element_at(letters, F.shiftright(n, s).bitwiseAND(31) + 1) for s in (15, 10, 5, 0)])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), part), "")
+def base32(sha1: Column) -> Column:
+    """Bare upper-case base32 of a column of 40 hex digits, in SQL functions: five digits are four letters."""
+    number = lambda i: F.conv(F.substring(sha1, i * 5 + 1, 5), 16, 10).cast("int")
+    letter = lambda n: F.substring(F.lit(BASE32), n.bitwiseAND(31) + 1, F.lit(1))
+    return F.concat(*[letter(F.shiftright(number(i), s)) for i in range(8) for s in (15, 10, 5, 0)])
 
 
 def url_key(url: str) -> str:
@@ -99,15 +95,17 @@ def classify(pages: DataFrame, least: int = 0) -> DataFrame:
     work on a hot digest: its largest id is pre-aggregated, and its rows join back in ``SALT`` parts.
     """
     html = F.coalesce("html", F.lit(""))
-    sized = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"))
-    small = sized.select("page_id", base32_sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("n"))
+    # the hash is a column of its own, which is referred to often and so computed once
+    sized = pages.select(F.col("page_id").cast("long"), "url", html.alias("html")).withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).withColumn("digest", base32(F.col("sha1"))).drop("sha1")
+    # a table: what meets itself below are its rows, not the expression that hashes payloads
+    small, _ = common.cut(sized.select("page_id", "digest", F.octet_length("html").alias("n")), "digests")
     salt = 16
     dealt = small.where(F.col("n") >= least).select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(salt)).alias("part"))
     last = dealt.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
     again = dealt.join(last.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salt)]))), ["digest", "part"])
     revisits = again.where("page_id <> first or (page_id is null and first is not null)").select(F.col("page_id").alias("id"), "digest", "first").distinct()
     revisits, _ = common.cut(revisits.withColumnRenamed("digest", "own"), "revisits")  # ids and digests; payloads are joined to a table, not to their own plan
-    return sized.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left").select("page_id", "url", "html", "digest", "first", F.col("own").isNotNull().alias("revisit"))
+    return sized.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left").select("page_id", "url", "html", "digest", "first", F.col("own").isNotNull().alias("revisit"))
 
 
 def write(classified: DataFrame, folder: str) -> DataFrame:
