@@ -83,9 +83,9 @@ def test_columns_are_read_one_after_the_other(spark):
 def test_footnotes_go_and_pages_are_stitched(spark):
     got, _ = convert(spark, [[text(72, 80, 500, 120, BODY), text(72, 790, 400, 800, "1. a note below the text, more than eighty characters long, so that it is no footer at all", size=7.0)]])
     assert "note below" not in got
-    got, _ = convert(spark, [[text(72, 80, 500, 120, "The trees were tall and green about")], [text(72, 80, 500, 120, "them. Then it rained for a long while.")]])
+    got, _ = convert(spark, [[text(72, 80, 500, 120, "The trees of the old forest were tall and green about")], [text(72, 80, 500, 120, "them. Then it rained for a long while, as it often does here.")]])
     assert "green about them. Then" in got
-    marked, _ = convert(spark, [[text(72, 80, 500, 120, "The trees were tall and green about")], [text(72, 80, 500, 120, "them. Then it rained for a long while.")]], keep_page_breaks=True)
+    marked, _ = convert(spark, [[text(72, 80, 500, 120, "The trees of the old forest were tall and green about")], [text(72, 80, 500, 120, "them. Then it rained for a long while, as it often does here.")]], keep_page_breaks=True)
     assert marked.startswith("The trees") and "\n\n--- page 2 ---\n\nthem." in marked
 
 
