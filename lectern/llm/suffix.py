@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SPAN, GRAM, TILE = 100, 32, 2048
+SPAN, GRAM, TILE = 100, 32, 512
 #: Bytes of text hashed together, and windows sorted together.
 BLOCK, WINDOWS = 1 << 21, 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
