@@ -32,9 +32,9 @@ def features(text: str | None) -> np.ndarray:
     found, step = [], 1 << 20
     for at in range(0, len(text), step):
         a = np.frombuffer(text[at : at + step + max(SIZES) - 1].encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint32(0x9E3779B1)
-        own = []
-        for n in SIZES:
-            h = np.full(max(0, len(a) - n + 1), n, np.uint32)
+        own = [np.zeros(0, np.uint32)]
+        for n in (n for n in SIZES if n <= len(a)):
+            h = np.full(len(a) - n + 1, n, np.uint32)
             for i in range(n):
                 h = (h ^ a[i : len(a) - n + 1 + i]) * np.uint32(0x85EBCA6B)
                 h ^= h >> np.uint32(15)
