@@ -129,15 +129,15 @@ def test_embedding_groups_and_recall(spark):
     assert all(got[i] == (0, i) for i in range(n, n + 7))
 
 
-@pytest.mark.parametrize("dim", [16, 64, 65])
-def test_filter_recall_at_the_threshold(dim):
+@pytest.mark.parametrize(("dim", "many"), [(1, 64), (2, 64), (3, 200), (16, 64), (64, 64), (64, 400), (65, 1000)])
+def test_filter_recall_at_the_threshold(dim, many):
     rng = np.random.default_rng(dim)
     a, b = rng.standard_normal((2, 1000, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b -= (a * b).sum(axis=1, keepdims=True) * a
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = b - (a * b).sum(axis=1, keepdims=True) * a if dim > 1 else np.zeros_like(a)
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-30)
     near = 0.931 * a + np.sqrt(1 - 0.931**2) * b
-    met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(embeddings.filters(a), embeddings.filters(near), strict=True)]
+    met = [len(np.intersect1d(x, y)) > 0 for x, y in zip(embeddings.filters(a, many), embeddings.filters(near, many), strict=True)]
     assert np.mean(met) >= 0.98
 
 
