@@ -34,7 +34,7 @@ from . import common
 
 SPAN, GRAM, TILE = 100, 32, 512
 #: Bytes of text hashed together, and windows sorted together.
-BLOCK, WINDOWS = 1 << 21, 1 << 18
+BLOCK, WINDOWS = 1 << 20, 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LOW = np.uint64(127)
 ROW = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()), ("off", pa.int32()), ("more", pa.int32()), ("done", pa.bool_())])
