@@ -56,13 +56,16 @@ def letters(text: Column) -> Column:
 
 
 def nfc(text: Column) -> Column:
-    """NFC. Only texts with a character that composition could touch travel to Python."""
+    """NFC. Only texts with a character that composition could touch travel to Python.
+
+    Declared nondeterministic, so that a filter on the result isn't pushed below and made to call it again.
+    """
 
     @F.pandas_udf("string")
     def composed(t: pd.Series) -> pd.Series:
         return t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    return F.coalesce(composed(F.when(~text.rlike(_SURELY_NFC), text)), text)
+    return F.coalesce(composed.asNondeterministic()(F.when(~text.rlike(_SURELY_NFC), text)), text)
 
 
 def spoken_form(text: Column, compose: bool = True) -> Column:

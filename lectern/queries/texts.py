@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import alignment, chunking, cleanup, hyphens, layout, locate, scripts
 from lectern.queries import views as V
+from lectern.sources import shared
 
 QUERIES, SQL = {}, {}
 
@@ -85,7 +86,7 @@ running AS (SELECT doc_id, line, pages FROM c JOIN n USING (doc_id) WHERE pages
 
 @query(f"WITH {RUNNING_SQL} SELECT doc_id, line, pages FROM running")
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanup.running_lines(V.book_lines(spark, sf_dir))
+    return cleanup.running_lines(V.line_table(spark, sf_dir))
 
 
 KEPT_SQL = rf"""{RUNNING_SQL},
@@ -94,7 +95,7 @@ kept AS (SELECT * FROM lines l WHERE NOT regexp_matches(text, '{PAGE_NUMBER}') A
 
 @query(f"WITH {KEPT_SQL} SELECT doc_id, page, pos, text FROM kept")
 def strip_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanup.strip_running(V.book_lines(spark, sf_dir)).select("doc_id", "page", "pos", "text")
+    return cleanup.strip_running(V.line_table(spark, sf_dir)).select("doc_id", "page", "pos", "text")
 
 
 PARAS_SQL = rf"""{KEPT_SQL},
@@ -109,13 +110,13 @@ paras AS (SELECT * FROM (SELECT doc_id, para, page, kind, {SPOKEN} AS text FROM
 
 @query(f"WITH {PARAS_SQL} SELECT doc_id, para, page, kind, text FROM paras")
 def stitch_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = cleanup.strip_running(V.book_lines(spark, sf_dir))
+    kept = cleanup.strip_running(V.line_table(spark, sf_dir))
     return cleanup.normalised(cleanup.stitch(kept)).select("doc_id", "para", "page", "kind", "text")
 
 
 @query(f"WITH {PARAS_SQL} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY para) || chr(10) AS text FROM paras GROUP BY doc_id")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = cleanup.strip_running(V.book_lines(spark, sf_dir))
+    kept = cleanup.strip_running(V.line_table(spark, sf_dir))
     return cleanup.clean_text(cleanup.normalised(cleanup.stitch(kept)))
 
 
@@ -124,7 +125,7 @@ WITH {KEPT_SQL}, f AS (SELECT doc_id, min(page) AS first FROM kept GROUP BY doc_
 m AS (SELECT DISTINCT l.doc_id, l.page, -1 AS seg, 'heading' AS kind, concat('--- page ', l.page, ' ---') AS text FROM lines l JOIN f USING (doc_id) WHERE l.page > f.first)
 SELECT doc_id, page, seg::BIGINT AS seg, kind, text FROM kept UNION ALL SELECT doc_id, page, seg, kind, text FROM m""")
 def page_break_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = V.book_lines(spark, sf_dir)
+    lines = V.line_table(spark, sf_dir)
     return cleanup.page_breaks(cleanup.strip_running(lines), lines.select("doc_id", "page").distinct())
 
 
@@ -146,7 +147,8 @@ SELECT doc_id AS book_id, position, 'narrator' AS speaker_id, text AS dialogue,
 FROM nx""")
 def script_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: books to numbered script rows with pauses, from the scan to positions."""
-    paras = cleanup.normalised(cleanup.stitch(cleanup.strip_running(V.book_lines(spark, sf_dir))))
+    lines = V.line_table(spark, sf_dir)
+    paras = shared.written(cleanup.normalised(cleanup.stitch(cleanup.strip_running(lines))), "paragraphs")  # pauses and numbers look at them anew
     paused = scripts.pauses(paras.withColumnRenamed("doc_id", "book_id"), "book_id", "para")
     direction = F.when(F.col("kind") == "heading", "Chapter heading.").otherwise("Neutral narration.")
     return scripts.numbered(paused, "book_id", "para").select("book_id", "position", F.lit("narrator").alias("speaker_id"), F.col("text").alias("dialogue"), direction.alias("direction"), "pause_after_ms")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -39,6 +41,11 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_lines(spark, sf_dir).select("doc_id", "pos", page, F.col("pos").alias("seg"), F.expr(KIND_CASE).alias("kind"), F.expr(LINE_CASE).alias("text")).where("trim(text) <> ''")
 
 
+def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`book_lines` as a table, for operators that read segments more than once: as in a run over stored pages."""
+    return shared.written(book_lines(spark, sf_dir), "lines")
+
+
 WIDTH, HEIGHT = 600.0, 800.0
 _TAGS = r"<(h1|p|li|div)[^>]*>([^<]*)"
 
