@@ -3,8 +3,8 @@
 A candidate is a run of 20 or more base64 or hex characters. A window of ``WINDOW`` characters slides
 over it; its Shannon entropy follows from the counts of the character that leaves and the one that
 enters. Windows at or above the threshold of the candidate's class (hex or base64) merge into spans.
-Candidates that look like words, identifiers or placeholders are suppressed (``ALLOWED``), and spans
-that overlap a fixed pattern's span aren't added.
+Candidates that look like words, identifiers or placeholders are suppressed (``ALLOWED``). Spans that
+overlap a fixed pattern's span stand beside it, since a merged span may reach far beyond.
 
 Positions come from the lengths of matches and of the text between them, summed in blocks so that a
 text with very many matches takes no quadratic time. Nothing is shuffled.
@@ -118,10 +118,7 @@ def spans(text: Column) -> Column:
 
     kept = F.filter(_matches(text, CANDIDATE, 0), lambda m: ~m["m"].rlike(ALLOWED))
     more = F.flatten(F.transform(kept, lambda m: F.transform(_entropy_spans(m["m"]), lambda x: F.struct((m["s"] + x["s"]).alias("s"), F.lit(3).alias("k"), (m["s"] + x["e"]).alias("e")))))
-    return _let(
-        F.struct(F.concat(*[fixed(k, *p) for k, p in enumerate(PATTERNS)]).alias("base"), F.coalesce(more, none).alias("more")),
-        lambda x: F.array_sort(F.concat(x["base"], F.filter(x["more"], lambda m: ~F.exists(x["base"], lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))))),
-    )
+    return F.array_sort(F.concat(*[fixed(k, *p) for k, p in enumerate(PATTERNS)], F.coalesce(more, none)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
