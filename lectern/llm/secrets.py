@@ -3,7 +3,8 @@
 A candidate is a run of 20 or more base64 or hex characters. A window of ``WINDOW`` characters slides
 over it; its Shannon entropy follows from the counts of the character that leaves and the one that
 enters. Windows at or above the threshold of the candidate's class (hex or base64) merge into spans.
-Candidates that look like words, identifiers or placeholders are suppressed (``ALLOWED``). Spans that
+Candidates that as a whole look like words or identifiers are suppressed (``ALLOWED``), and so are
+windows that hold a placeholder or a sequence (``LOCAL``), but not the rest of their candidate. Spans that
 overlap a fixed pattern's span stand beside it, since a merged span may reach far beyond.
 
 Positions come from the lengths of matches and of the text between them, summed in blocks so that a
@@ -30,11 +31,10 @@ PATTERNS = (
 )
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/=_-]{20,}", 20
 HEX, HEX_BITS, BASE64_BITS = r"^[0-9A-Fa-f]+$", 3.0, 3.7
-#: No digit or no letter; UUID; placeholder words; one character four times over; words joined by - _ or /.
-ALLOWED = (
-    r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|(?i:example|sample|placeholder|changeme|dummy|xxxx)"
-    r"|(.)\2{3}|(?i:0123456789|abcdefgh)|^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*$"
-)
+#: Of a whole candidate: no digit or no letter; UUID; words joined by - _ or /.
+ALLOWED = r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*$"
+#: Of one window: placeholder words; one character four times over; sequences.
+LOCAL = r"(?i:example|sample|placeholder|changeme|dummy|xxxx)|(.)\1{3}|(?i:0123456789|abcdefgh)"
 BLOCK, MARK = 128, "[SECRET]"
 SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 
@@ -73,7 +73,7 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
 
 
 def _entropy_spans(candidate: Column) -> Column:
-    """Spans of one candidate string, relative to its start: windows at or above its class's threshold, merged."""
+    """Spans of one candidate string, relative to its start: windows at or above its class's threshold and without ``LOCAL``, merged."""
     least = F.when(candidate.rlike(HEX), HEX_BITS).otherwise(BASE64_BITS)
 
     def f(c: Column) -> Column:  # c log2 c
@@ -82,7 +82,7 @@ def _entropy_spans(candidate: Column) -> Column:
     def count(x: Column, c: Column) -> Column:
         return F.size(F.filter(x, lambda y: y == c))
 
-    def step(z: Column, i: Column, chars: Column, bits: Column) -> Column:
+    def step(z: Column, i: Column, chars: Column, bits: Column, some: Column) -> Column:
         # the window ends at character i (from 1); inside is what stays when the one before it leaves
         inside, come = F.slice(chars, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i - 1, F.lit(WINDOW - 1))), F.element_at(chars, i)
         gone = F.when(i > WINDOW, F.element_at(chars, F.greatest(i - WINDOW, F.lit(1))))
@@ -95,6 +95,7 @@ def _entropy_spans(candidate: Column) -> Column:
             lambda t: F.struct(
                 t.alias("t"),
                 F.when((i < WINDOW) | (F.log2(F.lit(float(WINDOW))) - t / WINDOW < bits - 1e-9), z["o"])
+                .when(some & F.array_join(F.slice(chars, F.greatest(i - WINDOW + 1, F.lit(1)), WINDOW), "").rlike(LOCAL), z["o"])
                 .when((F.size(z["o"]) > 0) & (F.element_at(z["o"], -1)["e"] >= i - WINDOW), F.concat(F.slice(z["o"], 1, F.size(z["o"]) - 1), F.array(F.struct(F.element_at(z["o"], -1)["s"].alias("s"), i.alias("e")))))
                 .otherwise(F.concat(z["o"], F.array(F.struct((i - WINDOW).alias("s"), i.alias("e")))))
                 .alias("o"),
@@ -103,8 +104,8 @@ def _entropy_spans(candidate: Column) -> Column:
 
     start = F.struct(F.lit(0.0).alias("t"), F.array().cast("array<struct<s:int,e:int>>").alias("o"))
     return _let(
-        F.struct(F.split(candidate, "").alias("c"), least.alias("b")),
-        lambda x: F.aggregate(F.sequence(F.lit(1), F.size(x["c"])), start, lambda z, i: step(z, i, x["c"], x["b"]), lambda z: z["o"]),
+        F.struct(F.split(candidate, "").alias("c"), least.alias("b"), candidate.rlike(LOCAL).alias("l")),
+        lambda x: F.aggregate(F.sequence(F.lit(1), F.size(x["c"])), start, lambda z, i: step(z, i, x["c"], x["b"], x["l"]), lambda z: z["o"]),
     )
 
 

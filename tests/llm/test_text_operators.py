@@ -168,6 +168,40 @@ def test_entropy_spans_beside_fixed_ones(spark):
     assert not any(secret[k : k + 12] in got[i] for i in got for k in range(len(secret) - 11))
 
 
+def windows_by_definition(text):
+    """Entropy spans, window by window: what a window itself holds suppresses that window alone."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/=_-]{20,}", text):
+        c, merged = m[0], []
+        least = 3.0 if re.fullmatch(r"[0-9A-Fa-f]+", c) else 3.7
+        if not re.search("[0-9]", c) or not re.search("[A-Za-z]", c) or re.fullmatch(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*", c):
+            continue
+        for a in range(len(c) - 19):
+            w = c[a : a + 20]
+            placeholder = any(x in w.lower() for x in ("example", "sample", "placeholder", "changeme", "dummy", "xxxx", "0123456789", "abcdefgh")) or any(len(set(w[k : k + 4])) == 1 for k in range(17))
+            if not placeholder and -sum(n / 20 * math.log2(n / 20) for n in map(w.count, set(w))) >= least - 1e-9:
+                if merged and merged[-1][1] >= a:
+                    merged[-1][1] = a + 20
+                else:
+                    merged.append([a, a + 20])
+        out += [(m.start() + a, 3, m.start() + b) for a, b in merged]
+    return out
+
+
+def test_placeholders_suppress_their_windows_alone(spark):
+    rng = random.Random(12)
+    made = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    secret = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ9tLm3vT5hq"
+    key = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQAAACB" + made(200)
+    texts = [key, f"see sample/keys/{secret} there", f"{secret}0123456789{secret}", f"{secret}AAAA", f"abcdefgh{secret}", "an-example-placeholder-dummy-4You", "A7f3K9q2sampleZ8x4L1m6", "550e8400-e29b-41d4-a716-446655440000"]
+    texts += [made(30) + rng.choice(["xxxx", "dummy", "CHANGEME", "0000", "AbCdEfGh", "example"]) + made(rng.randint(0, 60)) for _ in range(30)]
+    found = {r.doc_id: [tuple(x) for x in r.found if x.k == 3] for r in secrets.scan(rows(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == [windows_by_definition(t) for t in texts]
+    assert all(found[i] for i in range(5)) and not found[6] and not found[7]
+    got = {r.doc_id: r.text for r in secrets.redact(rows(spark, texts)).collect()}
+    assert secret[:20] not in "".join(got.values()) and key[-40:] not in got[0]
+
+
 # --- op10
 
 
