@@ -82,8 +82,19 @@ j AS (SELECT doc_id, k, CASE WHEN k = 0 THEN t WHEN regexp_full_match(trim(p), '
 SELECT doc_id, string_agg(t, '' ORDER BY k) AS text FROM j GROUP BY doc_id""")
 def span_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first words of documents as spans of a line, the first letter large and on its own."""
-    words = F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 12)
-    texts = F.concat(F.array(F.left(words[0], F.lit(1)), F.substring(words[0], 2, 1 << 30)), F.slice(words, 2, 12))
+    return _joined(spark, sf_dir, lambda words: F.slice(words, 1, 12))
+
+
+@query(SQL["span_join"].replace("[1:12]", ""))
+def span_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of documents as spans of a line, the first letter large and on its own."""
+    return _joined(spark, sf_dir, lambda words: words)
+
+
+def _joined(spark: SparkSession, sf_dir: str, held) -> DataFrame:
+    """The line's text from the spans of those words of each document that ``held`` gives."""
+    words = held(F.split(F.coalesce("text", F.lit("")), " "))
+    texts = F.concat(F.array(F.left(words[0], F.lit(1)), F.substring(words[0], 2, 1 << 30)), F.slice(words, 2, 1 << 30))
 
     def span(t, k):
         x0 = k * 10.0
