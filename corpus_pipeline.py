@@ -2,7 +2,8 @@
 
 ``STAGES`` lists ``(name, function)``; each function takes ``(spark, docs, sf_dir)``. All but the last
 return the columns of ``documents``. ``run`` applies them in turn, writing each result as Parquet to
-the shared folder and reading it again, so a later stage never recomputes an earlier one.
+the shared folder and reading it again, so a later stage never recomputes an earlier one. It returns
+the columns ``RESULT`` of the last stage's table, which also holds the digests of the decoded texts.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, packed as little-endian unsigned 32-bit integers, and their number."""
-    ids = bpe.encode(docs, decoded=False)
-    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    """Token ids of every document, packed as little-endian unsigned 32-bit integers, their number, and the digest of the text decoded from them."""
+    ids = bpe.encode_checked(docs)
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", "decoded_sha256")
 
 
 STAGES = [
@@ -51,6 +52,8 @@ STAGES = [
     ("tokens", encode),
 ]
 
+RESULT = ["doc_id", "n_tokens", "ids_sha256", "ids"]
+
 #: Learned weights, fingerprints and merges aren't SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
@@ -59,4 +62,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs, _ = common.cut(stage(spark, docs, sf_dir), "stage")
-    return docs
+    return docs.select(*RESULT)

@@ -242,6 +242,20 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
+def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, ids, decoded_sha256``: packed ids, and the digest of the text that they decode to; the decoded text stays in the worker."""
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    def run(batches):
+        v = vocabulary(path)
+        for b in batches:
+            ids = v.encode_all([t or "" for t in b.column(1).to_pylist()])
+            back = [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["doc_id", "ids", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the digests leave the worker, not the ids."""
     path = path or public_tokenizers.path(VOCABULARY)

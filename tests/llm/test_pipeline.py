@@ -63,3 +63,12 @@ def test_an_empty_corpus(spark, sf, tmp_path, docs):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tokens_are_decoded_in_the_stage(spark, docs, sf):
+    more = docs.union(docs.limit(1).withColumn("doc_id", F.lit(-1)).withColumn("text", F.lit("é 😀 <|endoftext|> x")))
+    more = more.union(docs.limit(1).withColumn("doc_id", F.lit(-2)).withColumn("text", F.lit(None).cast("string")))
+    texts = {r.doc_id: r.text or "" for r in more.collect()}
+    got = corpus_pipeline.STAGES[-1][1](spark, more, sf).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+    assert all(r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() and r.n_tokens == len(r.ids) // 4 for r in got)
