@@ -1,6 +1,8 @@
 """Queries that run an operator over whole texts, against brute force on small tables."""
 
-from lectern.queries import pages
+import random
+
+from lectern.queries import pages, texts
 
 
 def test_span_join_reads_whole_documents(spark, tmp_path):
@@ -16,3 +18,44 @@ def test_span_join_reads_whole_documents(spark, tmp_path):
             glued = k == 1 and spans[0].isalpha() and span[:1].islower()
             out += span if k == 0 or glued or before.endswith(" ") or span.startswith(" ") or (k - 1) % 3 == 0 else " " + span
         assert got[i] == out and "".join(out.split(" ")) == "".join(words)
+
+
+def speech_by_definition(text):
+    """Character by character: where speech starts and ends."""
+    out, start, close = [], None, ""
+    for i, c in enumerate(text):
+        before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "
+        opens = c == "“" or (c == '"' and (before.isspace() or before in "([{—–-") and not after.isspace())
+        if c == "\n":
+            if start is not None and text[i + 1 :].lstrip(" \t").startswith("\n"):
+                out.append((start, i))
+                start = None
+            continue
+        if c not in "\"'“”‘’":
+            continue
+        if start is not None:
+            if opens and (close == '"' or (close, c) == ("”", "“")):
+                out.append((start, i))
+                start = None
+            elif c == close:
+                if close not in "'’" or not after.isalnum():
+                    out.append((start, i + 1))
+                    start = None
+                continue
+        if start is None and (opens or c == "‘" or (c == "'" and not before.isalnum())):
+            start, close = i, {"“": "”", "‘": "’"}.get(c, c)
+    return out
+
+
+def marked(text):
+    return "\n".join("“" + x if i % 5 == 1 else x + "”" if i % 5 == 2 else x for i, x in enumerate(text.split("\n")))
+
+
+def test_quotes_in_whole_texts(spark, tmp_path):
+    rng = random.Random(5)
+    far = "x" * 300 + " “speech\nover two lines " + "y" * 200 + "” and \"more\" of it"
+    docs = [None, "", far, "“never closed\n \t\nnext “one” ‘two’ isn't 'three'"] + ["".join(rng.choices(["“", "”", "‘", "’", '"', "'", " ", "\n", "\n\n", "ab", "é😀", "-"], k=200)) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.start, r.end) for r in texts.quote_whole(spark, str(tmp_path)).collect())
+    assert got == sorted((i, a, b) for i, t in enumerate(docs) if t is not None for a, b in speech_by_definition(marked(t)))
+    assert (2, 301, marked(far).index("“", 302)) in got and (3, 0, 14) in got
