@@ -134,3 +134,16 @@ def casting_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = spark.createDataFrame([(1, "v000000000"), (1, "v000000000"), (1, "v000000001"), (2, "v000000001"), (2, "vx")], "book_id int, voice_id string")
     return voices.casting_faults(rows, V.voices(spark, sf_dir))
+
+
+@query(f"""
+WITH casting AS (WITH {_CASTING}), {V.VOICES_SQL}, p AS (SELECT book_id, CASE WHEN book_id % 5 = 0 THEN concat('x', voice_id) ELSE voice_id END AS voice_id FROM casting),
+c AS (SELECT book_id, voice_id FROM p UNION ALL SELECT book_id, voice_id FROM p WHERE book_id % 7 = 0)
+SELECT book_id, voice_id, 'unknown voice' AS reason FROM c WHERE voice_id NOT IN (SELECT voice_id FROM voices) UNION ALL SELECT book_id, voice_id, 'cast twice' FROM c GROUP BY book_id, voice_id HAVING count(*) > 1""")
+def casting_faults_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' whole casting, some voices unknown, some books cast twice."""
+    from lectern.operators import voices
+
+    made = K.casting(spark, sf_dir).select("book_id", F.when(F.col("book_id") % 5 == 0, F.concat(F.lit("x"), "voice_id")).otherwise(F.col("voice_id")).alias("voice_id"))
+    twice = F.explode(F.when(F.col("book_id") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return voices.casting_faults(made.select("book_id", "voice_id", twice).select("book_id", "voice_id"), V.voices(spark, sf_dir))

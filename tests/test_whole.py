@@ -1,8 +1,9 @@
 """Queries that run an operator over whole texts, against brute force on small tables."""
 
 import random
+from collections import Counter
 
-from lectern.queries import pages, texts
+from lectern.queries import audio, cast, pages, texts, views
 
 
 def test_span_join_reads_whole_documents(spark, tmp_path):
@@ -59,3 +60,13 @@ def test_quotes_in_whole_texts(spark, tmp_path):
     got = sorted((r.doc_id, r.start, r.end) for r in texts.quote_whole(spark, str(tmp_path)).collect())
     assert got == sorted((i, a, b) for i, t in enumerate(docs) if t is not None for a, b in speech_by_definition(marked(t)))
     assert (2, 301, marked(far).index("“", 302)) in got and (3, 0, 14) in got
+
+
+def test_faults_of_the_whole_casting(spark, sf):
+    known = {r.voice_id for r in views.voices(spark, sf).collect()}
+    rows = []
+    for r in cast.casting(spark, sf).collect():
+        rows += [(r.book_id, "x" * (r.book_id % 5 == 0) + r.voice_id)] * (1 + (r.book_id % 7 == 0))
+    expected = [(b, v, "unknown voice") for b, v in rows if v not in known] + [(b, v, "cast twice") for (b, v), n in Counter(rows).items() if n > 1]
+    got = [(r.book_id, r.voice_id, r.reason) for r in audio.casting_faults_whole(spark, sf).collect()]
+    assert sorted(got) == sorted(expected) and {r for _, _, r in got} == {"unknown voice", "cast twice"}
