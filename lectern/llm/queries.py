@@ -16,4 +16,4 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_simhash": simhash.op10_simhash,
 }
-SQL = {"op4_embeddings": embeddings.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_topk": topk.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {"op2_secrets": secrets.OP2_SQL, "op4_embeddings": embeddings.OP4_SQL, "op5_warc": warc.OP5_SQL, "op6_topk": topk.OP6_SQL, "op8_mixing": mixing.OP8_SQL}
