@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,18 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session has none (tests) a temporary folder is set.
+    Only a local session (tests) may have none; then a temporary folder is set. On a cluster that is an error.
     """
     context = spark.sparkContext
     told = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not told:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir isn't set: tables between steps need a folder that all executors share")
         told = tempfile.mkdtemp(prefix="lectern-")
         context.setCheckpointDir(told)
     return told.rstrip("/")
 
 
+#: Folders made by this driver that are still there, by the session that made them.
+_made: dict[str, SparkSession] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -36,12 +46,36 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made.pop(path, None)
+
+
+def sweep(but: set[str] = frozenset()) -> None:
+    """Delete what steps have left in the shared folder, but for the paths given. Results that read them end with it."""
+    for path, spark in [x for x in _made.items() if x[0] not in but]:
+        remove(spark, path)
+
+
+@contextlib.contextmanager
+def swept():
+    """Tables written within are deleted at its end, but for the paths put into the set that it gives."""
+    before, kept = set(_made), set()
+    try:
+        yield kept
+    finally:
+        sweep(before | kept)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone before
+        sweep()
 
 
 def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends in files that survive executors.
 
-    Returns the reread table and its path, for :func:`remove` once nothing reads it any more.
+    Returns the reread table and its path, for :func:`remove` once nothing reads it any more; what is
+    left goes when the driver ends, or at :func:`sweep`.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
@@ -49,12 +83,22 @@ def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def other(key: str) -> Column:
+    """A long key under another expression, for a join of rows with what was grouped by that key.
+
+    Joined by the key itself the rows would stay where grouping put them, all rows of a hot key in one task.
+    By another expression both sides are dealt anew, and Spark can split the rows of a large part.
+    """
+    return F.bitwise_not(F.col(key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` of longs: ``node, component`` (its smallest node).
 
     Alternating large-star and small-star rounds; each round is two joins on the node, with the
     minimum pre-aggregated before its shuffle, and ends in a written table. The number of rounds is
-    logarithmic. Rows with a null end and self links are ignored; isolated nodes have no row.
+    logarithmic. A hub's edges can be split over tasks (:func:`other`). Rows with a null end and self
+    links are ignored; isolated nodes have no row.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct()
@@ -66,14 +110,14 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(e)
     while seen[0]:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(other("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.where("v > u").withColumn("k", other("u")).join(low, "k").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large, mid = cut(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after, done = cut(small.union(low.select("k", "m")).distinct(), "small")
-        remove(spark, mid)
-        remove(spark, path)
+        low, lows = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(low.select(F.col("u").alias("k"), "m"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after, done = cut(small.union(low).distinct(), "small")
+        for old in (mid, lows, path):
+            remove(spark, old)
         now, e, path = state(after), after, done
         if now == seen:
             break

@@ -107,12 +107,14 @@ def _links(bits: int):
 def links(distinct: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """``a, b``: verified links that connect every two of the ``distinct(fp)`` at ``bits`` or fewer.
 
-    Within a bucket a spanning forest stands for all its pairs.
+    Within a bucket a spanning forest stands for all its pairs. A bucket of n fingerprints, all of them
+    different, is n (n / ``TILE`` + 1) / 2 rows or fewer in the shuffle: keys of 27 bits hold about N / 2^27
+    of N random fingerprints, so past some 10^11 documents the blocks should be fewer and wider.
     """
     cases = F.array(*[F.struct(F.lit(i).cast("long").alias("c"), F.lit(m).alias("m")) for i, m in enumerate(masks(blocks, bits))])
     keyed = distinct.select("fp", F.explode(cases).alias("x")).select(F.col("x.c").alias("c"), F.col("fp").bitwiseAND(F.col("x.m")).alias("k"), "fp")
-    many = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = keyed.join(many, ["c", "k"]).withColumn("t", F.ceil(F.col("n") / TILE).cast("long"))
+    many = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", common.other("k").alias("o"), "n")
+    dealt = keyed.withColumn("o", common.other("k")).join(many, ["c", "o"]).withColumn("t", F.ceil(F.col("n") / TILE).cast("long"))
     own = F.pmod(F.xxhash64("fp"), F.col("t"))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("t") - 1), lambda j: F.least(own, j) * F.col("t") + F.greatest(own, j))
     placed = dealt.select("c", "k", F.explode(tiles).alias("p"), "fp")
@@ -125,8 +127,8 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS)
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = common.components(links(groups.select("fp"), bits, blocks))
     merged = groups.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp")).select("fp", "first", "root")
-    least = merged.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = merged.join(least, "root").select("fp", "component_id")
+    least = merged.groupBy("root").agg(F.min("first").alias("component_id")).select(common.other("root").alias("r"), "component_id")
+    ids = merged.withColumn("r", common.other("root")).join(least, "r").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
