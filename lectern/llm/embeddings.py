@@ -293,8 +293,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     of = {c: classes.schema[c].dataType.simpleString() for c in ("label", "vector")}
     held, _ = common.cut(classes.mapInArrow(_place(code_count(classes.count())), f"label {of['label']}, rep long, m long, vector {of['vector']}, dim int, fs array<long>"), "filters")
     placed = held.select("label", "dim", "rep", F.explode("fs").alias("f"))
-    many = placed.groupBy("label", "dim", "f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = placed.join(many, ["label", "dim", "f"]).withColumn("t", F.ceil(F.col("n") / TILE).cast("long")).withColumn("tile", F.pmod(F.xxhash64("rep"), "t"))
+    many = placed.groupBy("label", "dim", "f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "dim", common.other("f").alias("o"), "n")
+    dealt = placed.withColumn("o", common.other("f")).join(many, ["label", "dim", "o"]).withColumn("t", F.ceil(F.col("n") / TILE).cast("long")).withColumn("tile", F.pmod(F.xxhash64("rep"), "t"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("t") - 1), lambda j: F.struct(F.least("tile", j).alias("one"), F.greatest("tile", j).alias("two")))
     tiled = dealt.select("label", "dim", "f", "rep", "tile", F.explode(pairs).alias("x")).select("label", "dim", "f", "x.one", "x.two", "rep", "tile")
     rows = tiled.join(held.select("rep", "m", "vector", "fs"), "rep")
