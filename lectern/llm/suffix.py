@@ -6,15 +6,25 @@ place that the window's content alone decides: equal windows have equal anchors,
 Windows next to each other mostly share an anchor, so a stretch of windows is one row (anchor hash,
 stretch hash, place). Rows of one anchor meet:
 
-* stretches that are equal as a whole repeat the first of them; no text moves;
+* stretches with equal hashes repeat the first of them, if their bytes agree: within a batch they are
+  compared there; else stretches that follow each other in both documents are joined to runs, cut to
+  ``RUN`` bytes, and the bytes of a run and of what it repeats meet in a later stage;
 * stretches that differ, but share the anchor, are cut out of their documents and their suffixes are
   sorted: a mergesort whose comparisons find the common extension of two suffixes by binary search
   over prefix polynomial hashes. Neighbours that agree in ``SPAN`` bytes, checked byte by byte, are
   repeats, but for the first.
 
+No byte is removed on a hash alone. Where the bytes of a run disagree, all stretches of its anchors are
+sorted again without regard to their hashes.
+
 Repeats within a batch are settled before anything is shuffled. An anchor with more than ``TILE``
 different stretches (the edges of a very common passage) is sorted in tiles; what is first in its tile
-then meets by the hash of its window, so no task ever holds all rows of an anchor.
+then meets the other tiles' by the bytes of its window. Anchors that many documents share, as a sample
+of about ``SAMPLE`` documents tells, are dealt by anchor and stretch from the start, so no task holds all
+their rows; the sample decides where rows go, never what is compared.
+
+Texts are bytes throughout. A long one is hashed in blocks of about ``BLOCK`` windows and cut out of
+parts of ``PART`` bytes, so memory doesn't grow with a text beyond the bytes of the row itself.
 
 Defined results: null text is empty; rows that share an id are one document and all get its result; a
 document without an id takes no part and loses nothing; an empty table gives no rows.
@@ -27,17 +37,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 SPAN, GRAM, TILE = 100, 32, 512
-#: Bytes of text hashed together, and windows sorted together.
-BLOCK, WINDOWS = 1 << 20, 1 << 18
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Windows of text hashed together, windows sorted together, and stretches whose copies are looked for together.
+BLOCK, WINDOWS, TOGETHER = 1 << 19, 1 << 18, 1 << 19
+#: Bytes of a run that are compared at once, of a part of a text, and of what is cut out at a time.
+RUN, PART, CUT = 4096, 1 << 20, 1 << 24
+#: Documents in the sample for hot anchors, different stretches there that make an anchor hot, and parts that a hot run's bytes are dealt into.
+SAMPLE, HOT, SALT = 4096, 16, 256
+BASE = 0x9E3779B97F4A7C15
 LOW = np.uint64(127)
-ROW = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()), ("off", pa.int32()), ("more", pa.int32()), ("done", pa.bool_())])
+#: ``kind`` 0: a stretch; 1: windows ``p`` to ``p + more`` that repeat earlier ones; 2: a stretch of a hot anchor.
+ROW = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("p", pa.int64()), ("off", pa.int32()), ("more", pa.int32()), ("kind", pa.int32())])
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -63,7 +79,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hashes:
     """Prefix polynomial hashes of a byte string: any substring's hash from two of them."""
 
-    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         self.power, self.inverse = _table(len(data) + 1, base)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], out=self.prefix[1:])
@@ -135,96 +151,178 @@ def _runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return doc[at], lo[at], top[np.append(at[1:], len(doc)) - 1]
 
 
-def _rows(ah, ch, doc, p, off, more, done) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x), t) for x, t in zip((ah, ch, doc, p, off, more, done), ROW.types, strict=True)], schema=ROW)
+def _rows(ah, ch, doc, p, off, more, kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x), t) for x, t in zip((ah, ch, doc, p, off, more, kind), ROW.types, strict=True)], schema=ROW)
 
 
-def _scan(batches):
-    for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        found, at = [], 0
-        while at < len(ids):
-            raw, own, size = [], [], 0
-            while at < len(ids) and (not raw or size < BLOCK):
-                t = texts[at]
-                if ids[at] is not None and t is not None:
-                    raw.append(t.encode("utf-8", "surrogatepass"))
-                    own.append(ids[at])
-                    size += len(raw[-1])
-                at += 1
-            if not raw:
-                continue
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-            starts = np.cumsum(sizes) - sizes
-            ah, ch, doc, p, off, more = anchors(np.frombuffer(b"".join(raw), np.uint8), starts, sizes)
-            found.append((ah.view(np.int64), ch.view(np.int64), np.array(own, np.int64)[doc], p, off, more))
-        if not found:
-            continue
-        ah, ch, doc, p, off, more = (np.concatenate(x) for x in zip(*found, strict=True))
+def _pieces(texts: pa.Array, windows: int):
+    """``row, first byte, bytes`` of texts in pieces that overlap, so that each window is whole in one of them."""
+    for row in range(len(texts)):
+        if texts[row].is_valid:
+            raw = np.frombuffer(texts[row].as_buffer(), np.uint8)
+            for at in range(0, max(1, len(raw) - SPAN + 1), windows):
+                yield row, at, raw[at : at + windows + SPAN - 1]
+
+
+def joined(doc: np.ndarray, p: np.ndarray, more: np.ndarray, hdoc: np.ndarray, hp: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches beside what they repeat, as runs that go on in both: the run of each, then document, first window, more windows, and what the run repeats."""
+    order = np.lexsort((p, doc))
+    doc, p, more, hdoc, hp = (x[order] for x in (doc, p, more, hdoc, hp))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hdoc[1:] != hdoc[:-1]) | (p[1:] - hp[1:] != p[:-1] - hp[:-1]) | (p[1:] != p[:-1] + more[:-1] + 1)
+    at, run = np.flatnonzero(new), np.zeros(len(doc), np.int64)
+    run[order] = np.cumsum(new) - 1
+    last = np.append(at[1:], len(doc)) - 1
+    return run, doc[at], p[at], p[last] + more[last] - p[at] if len(at) else p, hdoc[at], hp[at]
+
+
+def settled(data: list[bytes], block: np.ndarray, at: np.ndarray, more: np.ndarray, hblock: np.ndarray, hat: np.ndarray) -> np.ndarray:
+    """Whether stretches at places in blocks of bytes have the bytes of others; long runs are compared at once."""
+    run, b, lo, n, hb, hlo = joined(block, at, more, hblock, hat)
+    same = [data[i][x : x + k] == data[j][y : y + k] for i, x, j, y, k in zip(b.tolist(), lo.tolist(), hb.tolist(), hlo.tolist(), (n + SPAN).tolist(), strict=True)]
+    return np.array(same, bool)[run] if len(same) else np.zeros(len(run), bool)
+
+
+def _scan(hot: np.ndarray, windows: int, bits: int):
+    """Stretches of all texts; of those with equal hashes and bytes within a batch only the first."""
+
+    def settle(found: list[tuple], data: list[bytes]):
+        block, at, ah, ch, doc, p, off, more = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((p, doc, ch, ah))
-        ah, ch, doc, p, off, more = (x[order] for x in (ah, ch, doc, p, off, more))
+        block, at, ah, ch, doc, p, off, more = (x[order] for x in (block, at, ah, ch, doc, p, off, more))
         first = np.ones(len(ah), bool)
         first[1:] = (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1])
         head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(ah) else np.zeros(0, np.int64)
-        again = ~first & ((doc != doc[head]) | (p != p[head]))
+        twin = ~first & (doc == doc[head]) & (p == p[head])  # of rows that share an id
+        again = np.flatnonzero(~first & ~twin)
+        again = again[settled(data, block[again], at[again], more[again], block[head[again]], at[head[again]])]
+        keep = ~twin
+        keep[again] = False
         d, lo, hi = _runs(doc[again], p[again], p[again] + more[again])
-        yield _rows(ah[first], ch[first], doc[first], p[first], off[first], more[first], np.zeros(first.sum(), bool))
-        if len(d):  # settled here; dealt out by a hash of their place
+        yield _rows(ah[keep], ch[keep], doc[keep], p[keep], off[keep], more[keep], np.isin(ah[keep], hot).astype(np.int32) * 2)
+        if len(d):  # dealt out by a hash of their place
             key = _mix((d * 1_000_003 + lo).astype(np.uint64)).view(np.int64)
-            yield _rows(key, key, d, lo, np.zeros(len(d)).astype(np.int32), (hi - lo).astype(np.int64).clip(0, (1 << 31) - 1), np.ones(len(d), bool))
+            yield _rows(key, key, d, lo, np.zeros(len(d)), (hi - lo).clip(0, (1 << 31) - 1), np.ones(len(d)))
+
+    def run(batches):
+        for b in batches:
+            ids, texts = b.column(0), b.column(1)
+            docs, some = np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid())
+            found, data, count, size = [], [], 0, 0
+            held: list[tuple[int, int, np.ndarray]] = []
+            for one in chain(_pieces(texts, windows // 2), [None]):
+                if one is not None and some[one[0]] and len(one[2]) >= SPAN:
+                    held.append(one)
+                    size += len(one[2])
+                if held and (one is None or size >= windows):
+                    row, base = np.array([x[0] for x in held]), np.array([x[1] for x in held], np.int64)
+                    sizes = np.array([len(x[2]) for x in held], np.int64)
+                    starts = np.cumsum(sizes) - sizes
+                    data.append(b"".join(x[2] for x in held))
+                    ah, ch, own, p, off, more = anchors(np.frombuffer(data[-1], np.uint8), starts, sizes)
+                    ch = ch & np.uint64((1 << bits) - 1)
+                    found.append((np.full(len(ah), len(data) - 1), starts[own] + p, ah.view(np.int64), ch.view(np.int64), docs[row[own]], base[own] + p, off, more))
+                    count += len(ah)
+                    held, size = [], 0
+                if found and (one is None or count >= TOGETHER):
+                    yield from settle(found, data)
+                    found, data, count = [], [], 0
+
+    return run
+
 
+#: ``hdoc``, ``hp``: the place that windows ``p`` to ``p + more`` repeat; ``tile`` not null: a stretch to compare within its anchor;
+#: neither: windows that are known to repeat earlier ones. ``many``: the anchor has more tiles than one.
+MET = "ah long, tile long, doc long, p long, off int, more int, many boolean, hdoc long, hp long"
 
-#: ``tile`` null: windows ``p`` to ``p + more`` repeat earlier ones; else a stretch to compare within its anchor.
-MET = "ah long, tile long, doc long, p long, off int, more int"
 
+def _meet(hot: dict[int, int], tile: int):
+    """Rows sorted by anchor, stretch and place: repeats of whole stretches, and stretches to compare.
 
-def _meet(batches):
-    """Rows sorted by anchor, stretch and place: repeats of whole stretches, and stretches to compare."""
-    head = None  # of the current stretch: ah, ch, doc, p
-    held, nth = None, 0  # the anchor's first stretch while it is the only one; different stretches so far
+    Of a cold anchor stretches are held back until a second or, past a tile, ``tile`` of them are there.
+    """
+
+    def sent(rows: list[np.ndarray], n: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        ah, doc, p, off, more = rows
+        none = pa.nulls(len(ah), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ah, pa.int64()), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(p, pa.int64()), pa.array(off.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(many, pa.bool_()), none, none],
+            ["ah", "tile", "doc", "p", "off", "more", "many", "hdoc", "hp"],
+        )
+
+    def repeated(doc, p, more, hdoc, hp, known: np.ndarray) -> pa.RecordBatch:
+        n = len(doc)
+        none, zero = pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int32))
+        return pa.RecordBatch.from_arrays(
+            [none, none, pa.array(doc, pa.int64()), pa.array(p, pa.int64()), zero, pa.array(more.astype(np.int32)), pa.array(np.zeros(n, bool)), pa.array(hdoc, pa.int64(), mask=known), pa.array(hp, pa.int64(), mask=known)],
+            ["ah", "tile", "doc", "p", "off", "more", "many", "hdoc", "hp"],
+        )
+
+    def run(batches):
+        head = None  # of the current stretch: ah, ch, doc, p
+        wait = [np.zeros(0, np.int64)] * 5  # stretches held back, all of one anchor
+        nth = 0  # that anchor's stretches so far, if more than a tile
+        for b in chain(batches, [None]):
+            if b is not None and not b.num_rows:
+                continue
+            lead = [np.zeros(0, np.int64)] * 5
+            if b is not None:
+                ah, ch, doc, p, off, more, kind = (np.asarray(b.column(i)) for i in range(7))
+                done = kind == 1
+                first = np.ones(len(ah), bool)
+                first[1:] = (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1]) | done[1:] | done[:-1]
+                first[0] = head is None or done[0] or head[0] != ah[0] or head[1] != ch[0]
+                at = np.maximum.accumulate(np.where(first, np.arange(len(ah)), -1))
+                hd, hp = np.where(at >= 0, doc[at], head[2] if head else 0), np.where(at >= 0, p[at], head[3] if head else 0)
+                again = done | (~first & ((doc != hd) | (p != hp)))
+                if again.any():
+                    yield repeated(doc[again], p[again], more[again], hd[again], hp[again], done[again])
+                if not done[-1]:
+                    head = (ah[-1], ch[-1], int(hd[-1]), int(hp[-1]))
+                spread = np.flatnonzero(first & (kind == 2))
+                if len(spread):
+                    tiles = np.array([hot.get(x, 1) for x in ah[spread].tolist()], np.int64)
+                    yield sent([x[spread].astype(np.int64) for x in (ah, doc, p, off, more)], (_mix(ch[spread].view(np.uint64)) >> np.uint64(1)).astype(np.int64) % tiles, tiles > 1)
+                lead = [x[first & (kind == 0)].astype(np.int64) for x in (ah, doc, p, off, more)]
+            rows = [np.concatenate(x) for x in zip(wait, lead, strict=True)]
+            k = rows[0]
+            if b is not None and not len(lead[0]):
+                continue
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(k)))
+            before = np.zeros(len(start), np.int64)  # stretches of the group's anchor that are sent already
+            if len(k) and nth and last == k[0]:
+                before[0] = nth
+            total = before + size
+            hold = np.zeros(len(start), bool)
+            if b is not None:
+                hold[-1] = total[-1] <= tile
+            group = np.repeat(np.arange(len(start)), size)
+            send = (total > 1)[group] & ~hold[group]
+            place = np.arange(len(k)) - start[group] + before[group]
+            if send.any():
+                yield sent([x[send] for x in rows], place[send] // tile, (total > tile)[group][send])
+            if b is not None:
+                wait = [x[hold[group]] for x in rows]
+                last, nth = k[-1], 0 if hold[-1] else int(total[-1])
+
+    return run
+
+
+RUNS = "doc long, p long, more int, hdoc long, hp long"
+
+
+def _follow(batches):
+    """Repeats sorted by document and place, joined to runs and cut to ``RUN`` bytes."""
+    step = RUN - SPAN + 1
     for b in batches:
-        ah, ch, doc, p, off, more = (np.asarray(b.column(i)) for i in range(6))
-        done = np.asarray(b.column(6).to_numpy(zero_copy_only=False), bool)
-        n = len(ah)
-        if not n:
-            continue
-        first = np.ones(n, bool)
-        first[1:] = (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1]) | done[1:] | done[:-1]
-        carried = head is not None and not done[0] and head[0] == ah[0] and head[1] == ch[0]
-        first[0] = not carried
-        at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
-        hd, hp = np.where(at >= 0, doc[at], head[2] if head else 0), np.where(at >= 0, p[at], head[3] if head else 0)
-        again = done | (~first & ((doc != hd) | (p != hp)))
-        lead = np.flatnonzero(first & ~done)
-        k = ah[lead]
-        change = np.ones(len(k), bool)
-        change[1:] = k[1:] != k[:-1]
-        if len(k) and held is not None and held[0] == k[0]:
-            change[0] = False
-        begin = np.maximum.accumulate(np.where(change, np.arange(len(k)), -1)) if len(k) else k
-        place = np.where(begin >= 0, np.arange(len(k)) - begin, np.arange(len(k)) + nth)
-        follow = np.zeros(len(k), bool)  # another stretch of the anchor comes right after
-        follow[:-1] = k[1:] == k[:-1]
-        send = (place > 0) | follow
-        sent = lead[send]
-        cols = [ah[sent], place[send] // TILE, doc[sent], p[sent], off[sent], more[sent]]
-        if len(k) and not change[0] and nth == 1:  # the one held is the anchor's first stretch, and not alone
-            cols = [np.append(c, v) for c, v in zip(cols, (held[0], 0, *held[1:]), strict=True)]
-        d, lo, hi = _runs(doc[again], p[again], p[again] + more[again])
-        m, r = len(cols[0]), len(d)
-        if m + r:
-            null = np.append(np.zeros(m, bool), np.ones(r, bool))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.append(cols[0], np.zeros(r, np.int64)), pa.int64(), mask=null), pa.array(np.append(cols[1], np.zeros(r, np.int64)), pa.int64(), mask=null), pa.array(np.append(cols[2], d), pa.int64()),
-                    pa.array(np.append(cols[3], lo), pa.int64()), pa.array(np.append(cols[4], np.zeros(r, np.int64)).astype(np.int32)), pa.array(np.append(cols[5], hi - lo).clip(0, (1 << 31) - 1).astype(np.int32)),
-                ],
-                ["ah", "tile", "doc", "p", "off", "more"],
-            )
-        if not done[-1]:
-            head = (ah[-1], ch[-1], int(hd[-1]), int(hp[-1]))
-        if len(k):
-            held, nth = (k[-1], doc[lead[-1]], p[lead[-1]], off[lead[-1]], more[lead[-1]]), int(place[-1]) + 1
+        _, doc, p, more, hdoc, hp = joined(*(np.asarray(b.column(i)).astype(np.int64) for i in range(5)))
+        cuts = more // step + 1
+        row = np.repeat(np.arange(len(doc)), cuts)
+        nth = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * step
+        yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(p[row] + nth), pa.array(np.minimum(more[row] - nth, step - 1).astype(np.int32)), pa.array(hdoc[row]), pa.array(hp[row] + nth)], ["doc", "p", "more", "hdoc", "hp"])
 
 
 def merge_order(h: Hashes, data: np.ndarray, bucket: np.ndarray, at: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -298,107 +396,187 @@ def repeats(data: np.ndarray, group: np.ndarray, off: np.ndarray, start: np.ndar
     return again, wdoc, wp, group[row], at
 
 
-#: ``w1`` null: windows ``p`` to ``p + more`` repeat earlier ones; else one window, first in its tile, to meet the other tiles'.
-SORTED = "w1 long, w2 long, doc long, p long, more int"
+#: ``w`` null: windows ``p`` to ``p + more`` repeat earlier ones, or, if ``bad``, they don't though hashes said so; else one window's bytes, first in its tile, to meet the other tiles'.
+COMPARED = "w binary, doc long, p long, more int, bad boolean"
+
 
+def _out(w, doc, p, more, bad) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([w, pa.array(doc, pa.int64()), pa.array(p, pa.int64()), pa.array(np.asarray(more).astype(np.int32)), pa.array(bad, pa.bool_())], ["w", "doc", "p", "more", "bad"])
 
-def _sort(batches):
-    """Stretches sorted by anchor and tile, with their text: repeats by suffix sort, a few groups at a time."""
+
+def _compare(batches):
+    """Texts cut out, sorted by ``ASK``: runs against what they repeat, and stretches by suffix sort, a few groups at a time."""
 
     def settle(t: pa.Table):
         raw = t.column("text").to_pylist()
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
-        ah, tile, doc, p, off, more = (np.asarray(t.column(c)).astype(np.int64) for c in ("ah", "tile", "doc", "p", "off", "more"))
+        ah, tile, doc, p, off, more = (np.asarray(t.column(c)).astype(np.int64) for c in ("a", "b", "doc", "p", "off", "more"))
         group = np.cumsum(np.append(0, (ah[1:] != ah[:-1]) | (tile[1:] != tile[:-1])))
         again, wdoc, wp, wgroup, at = repeats(data, group, off, np.cumsum(sizes) - sizes, more, doc, p)
         d, lo, hi = _runs(wdoc[again], wp[again], wp[again])
+        yield _out(pa.nulls(len(d), pa.binary()), d, lo, hi - lo, np.zeros(len(d), bool))
         many = np.zeros(group[-1] + 1, bool)
         many[group] = np.asarray(t.column("many").to_numpy(), bool)
-        left = np.flatnonzero(~again & many[wgroup])
-        one, two = (Hashes(data, base).of(at[left], SPAN) for base in BASES)
-        null = np.append(np.ones(len(d), bool), np.zeros(len(left), bool))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.append(np.zeros(len(d), np.int64), one.view(np.int64)), pa.int64(), mask=null), pa.array(np.append(np.zeros(len(d), np.int64), two.view(np.int64)), pa.int64(), mask=null),
-                pa.array(np.append(d, wdoc[left])), pa.array(np.append(lo, wp[left])), pa.array(np.append(hi - lo, np.zeros(len(left), np.int64)).astype(np.int32)),
-            ],
-            ["w1", "w2", "doc", "p", "more"],
-        )
+        left, text = np.flatnonzero(~again & many[wgroup]), data.tobytes()
+        for k in range(0, len(left), 1 << 16):
+            own = left[k : k + (1 << 16)]
+            yield _out(pa.array([text[x : x + SPAN] for x in at[own].tolist()], pa.binary()), wdoc[own], wp[own], np.zeros(len(own)), np.zeros(len(own), bool))
+
+    def verify(t: pa.Table, head: tuple):
+        """The rows of runs, what they repeat first in each group; ``head`` is the last one before, by its key."""
+        keys = [np.asarray(t.column(c)) for c in ("a", "b", "n", "salt")]
+        first, texts = np.asarray(t.column("off")) < 0, t.column("text").combine_chunks()
+        at = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+        known = at >= 0
+        for k, h in zip(keys, head[0], strict=True):  # a group whose head is missing is not that of the head before
+            known &= k == np.where(at >= 0, k[at], h)
+        if head[1] is not None:
+            known |= (at < 0) & np.logical_and.reduce([k == h for k, h in zip(keys, head[0], strict=True)])
+        heads = pa.concat_arrays([pa.array([head[1]], pa.binary()), texts]).take(pa.array(at + 1))
+        same = known & np.asarray(pc.equal(texts, heads).fill_null(False))
+        doc, p, more = (np.asarray(t.column(c)) for c in ("doc", "p", "more"))
+        own = ~first
+        yield _out(pa.nulls(int(own.sum()), pa.binary()), doc[own], p[own], more[own], ~same[own])
+        if first.any():
+            i = int(np.flatnonzero(first)[-1])
+            head = (tuple(int(k[i]) for k in keys), texts[i].as_py())
+        return head
 
     kept: pa.Table | None = None
+    head = ((0, 0, -1, 0), None)
     for b in chain(batches, [None]):
         if b is not None:
             now = pa.Table.from_batches([b])
+            runs = now.filter(pc.greater_equal(now.column("n"), 0))
+            if runs.num_rows:
+                head = yield from verify(runs, head)
+                now = now.filter(pc.less(now.column("n"), 0))
             kept = now if kept is None else pa.concat_tables([kept, now])
         while kept is not None and kept.num_rows:
             count = np.cumsum(kept.column("more").to_numpy().astype(np.int64) + 1)
             if b is not None and count[-1] < WINDOWS:
                 break
-            ah, tile = (kept.column(c).to_numpy() for c in ("ah", "tile"))
+            ah, tile = (kept.column(c).to_numpy() for c in ("a", "b"))
             ends = np.flatnonzero((ah[1:] != ah[:-1]) | (tile[1:] != tile[:-1])) + 1
             ends = np.append(ends, kept.num_rows) if b is None else ends  # the last group may go on
             if not len(ends):
                 break
             end = int(ends[min(len(ends) - 1, int(np.searchsorted(count[ends - 1], WINDOWS)))])
-            yield settle(kept.slice(0, end))
+            yield from settle(kept.slice(0, end))
             kept = kept.slice(end)
 
 
 def _across(batches):
-    """Windows sorted by hash and place: all but the first of equal ones repeat it."""
+    """Windows sorted by their bytes and place: all but the first of equal ones repeat it."""
     head = None
     for b in batches:
-        w1, w2, doc, p = (np.asarray(b.column(i)) for i in range(4))
-        n = len(w1)
-        if not n:
+        w, doc, p = b.column(0), np.asarray(b.column(1)), np.asarray(b.column(2))
+        if not len(w):
             continue
-        first = np.ones(n, bool)
-        first[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-        first[0] = head is None or head[0] != w1[0] or head[1] != w2[0]
-        at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
-        hd, hp = np.where(at >= 0, doc[at], head[2] if head else 0), np.where(at >= 0, p[at], head[3] if head else 0)
+        first = np.ones(len(w), bool)
+        first[1:] = np.asarray(pc.not_equal(w[1:], w[:-1]))
+        first[0] = head is None or head[0] != w[0].as_py()
+        at = np.maximum.accumulate(np.where(first, np.arange(len(w)), -1))
+        hd, hp = np.where(at >= 0, doc[at], head[1] if head else 0), np.where(at >= 0, p[at], head[2] if head else 0)
         again = (doc != hd) | (p != hp)
-        head = (w1[-1], w2[-1], int(hd[-1]), int(hp[-1]))
+        head = (w[-1].as_py(), int(hd[-1]), int(hp[-1]))
         d, lo, hi = _runs(doc[again], p[again], p[again])
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(lo, pa.int64()), pa.array((hi - lo).astype(np.int32))], ["doc", "p", "more"])
 
 
+#: What is asked of a text and where it goes. ``n`` below 0: a stretch for tile ``b`` of anchor ``a``; else ``n`` bytes
+#: that are to be, or (``off`` -1) are, those of document ``a`` at ``b``, in the part ``salt`` of all that should be.
+ASK = ("a", "b", "n", "salt", "off", "more", "many", "p")
+CUTS = "a long, b long, n int, salt int, off int, more int, many boolean, p long, doc long, text binary"
+
+
 def _cut_out(batches):
-    """Text of the stretches listed beside each document."""
+    """The bytes asked of each part of a document, beside what was asked; those that the document doesn't have are left out."""
     for b in batches:
-        text, asked = b.column(1), b.column(2)
+        base, text, asked = b.column(1), b.column(2), b.column(3)
         flat = asked.flatten()
         counts = np.asarray(asked.value_lengths().fill_null(0))
         row = np.repeat(np.arange(len(counts)), counts)
-        ah, tile, p, off, more, many = (flat.field(i) for i in range(6))
-        for at in range(0, len(row), 1 << 16):
-            own = slice(at, at + (1 << 16))
+        fields = [flat.field(i) for i in range(len(ASK))]
+        place = np.asarray(fields[-1]) - np.asarray(base)[row] if len(row) else row
+        size = np.maximum(np.asarray(fields[2]), np.asarray(fields[5]) + SPAN) if len(row) else row
+        ends = np.searchsorted(np.cumsum(size), np.arange(CUT, int(size.sum()) + CUT, CUT), "right") if len(row) else []
+        at = 0
+        for end in [*dict.fromkeys(x for x in np.asarray(ends).tolist() if x > 0), len(row)]:
+            own = slice(at, end)
             raw, last, data = [], -1, b""
-            for r, s, m in zip(row[own].tolist(), p[own].to_pylist(), more[own].to_pylist(), strict=True):
+            for r, s, m in zip(row[own].tolist(), place[own].tolist(), size[own].tolist(), strict=True):
                 if r != last:
-                    last, data = r, (text[r].as_py() or "").encode("utf-8", "surrogatepass")
-                raw.append(data[s : s + m + SPAN])
-            keep = pa.array([len(x) == m + SPAN for x, m in zip(raw, more[own].to_pylist(), strict=True)])
-            doc = b.column(0).take(pa.array(row[own]))
-            yield pa.RecordBatch.from_arrays([ah[own], tile[own], doc, p[own], off[own], more[own], many[own], pa.array(raw, pa.binary())], ["ah", "tile", "doc", "p", "off", "more", "many", "text"]).filter(keep)
-
-
-def removed(docs: DataFrame) -> DataFrame:
-    """``doc, p, more``: windows ``p`` to ``p + more`` of the document also start earlier. A window may come up twice."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = texts.mapInArrow(_scan, "ah long, ch long, doc long, p long, off int, more int, done boolean")
-    met, _ = common.cut(rows.repartition("ah").sortWithinPartitions("ah", "ch", "doc", "p").mapInArrow(_meet, MET), "met")
-    apart = met.where("tile is not null")
-    # tiles of anchors that have several, by anchor and tile: no key of the join holds more than one tile's rows
-    top = apart.where("tile > 0").groupBy("ah").agg(F.max("tile").alias("top"))
-    many = top.select("ah", F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("tile"), F.lit(True).alias("many"))
-    asked = apart.join(many, ["ah", "tile"], "left").groupBy("doc").agg(F.collect_list(F.struct("ah", "tile", "p", "off", "more", F.coalesce("many", F.lit(False)).alias("many"))).alias("asked"))
-    held = texts.join(asked, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "asked")
-    cut = held.mapInArrow(_cut_out, "ah long, tile long, doc long, p long, off int, more int, many boolean, text binary")
-    sorted_, _ = common.cut(cut.repartition("ah", "tile").sortWithinPartitions("ah", "tile", "doc", "p").mapInArrow(_sort, SORTED), "sorted")
-    across = sorted_.where("w1 is not null").select("w1", "w2", "doc", "p").repartition("w1", "w2").sortWithinPartitions("w1", "w2", "doc", "p").mapInArrow(_across, "doc long, p long, more int")
-    return met.where("tile is null").select("doc", "p", "more").union(sorted_.where("w1 is null").select("doc", "p", "more")).union(across)
+                    last, data = r, memoryview(text[r].as_buffer()) if text[r].is_valid else b""
+                raw.append(bytes(data[s : s + m]))
+            if raw:
+                whole = np.fromiter(map(len, raw), np.int64, len(raw)) == size[own]
+                doc = b.column(0).take(pa.array(row[own]))
+                yield pa.RecordBatch.from_arrays([*[f[own] for f in fields], doc, pa.array(raw, pa.binary())], [*ASK, "doc", "text"]).filter(pa.array(whole))
+            at = end
+
+
+def _compared(texts: DataFrame, apart: DataFrame, runs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """What becomes of stretches ``apart`` and of ``runs``: rows of ``COMPARED`` without windows, and the repeats among the windows of several tiles."""
+    part = lambda: F.floor(F.col("p") / PART).cast("long").alias("part")
+    no, zero = F.lit(False), F.lit(0)
+    asks = apart.select("doc", part(), F.col("ah").alias("a"), F.col("tile").alias("b"), F.lit(-1).alias("n"), zero.alias("salt"), "off", "more", "many", "p")
+    if runs is not None:
+        salted = runs.select("doc", "p", "more", "hdoc", "hp", (F.col("more") + SPAN).alias("n"), F.pmod(F.xxhash64("doc", "p"), F.lit(SALT)).cast("int").alias("salt"))
+        asks = asks.union(salted.select("doc", part(), F.col("hdoc").alias("a"), F.col("hp").alias("b"), "n", "salt", zero.alias("off"), "more", no.alias("many"), "p"))
+        heads = salted.select("hdoc", "hp", "n", "more", "salt").distinct().select(F.col("hdoc").alias("doc"), F.col("hp").alias("p"), "n", "more", "salt")
+        asks = asks.union(heads.select("doc", part(), F.col("doc").alias("a"), F.col("p").alias("b"), "n", "salt", F.lit(-1).alias("off"), "more", no.alias("many"), "p"))
+    asked = asks.groupBy("doc", "part").agg(F.collect_list(F.struct(*ASK)).alias("asked"))
+    size = F.octet_length("text")
+    # a part goes on for as many bytes as the longest ask has
+    parts = texts.where("text is not null and doc_id is not null").select("doc_id", "text", F.explode(F.sequence(zero, F.floor(F.greatest(size - 1, zero) / PART).cast("int"))).alias("k"))
+    pieces = parts.select("doc_id", F.col("k").cast("long").alias("k"), (F.col("k").cast("long") * PART).alias("base"), F.substring("text", F.col("k") * PART + 1, F.lit(PART + RUN)).alias("text"))
+    held = pieces.join(asked, (F.col("doc_id") == F.col("doc")) & (F.col("k") == F.col("part"))).select("doc_id", "base", "text", "asked")
+    cut = held.mapInArrow(_cut_out, CUTS)
+    key = ("a", "b", "n", "salt")
+    found, _ = common.cut(cut.repartition(*key).sortWithinPartitions(*key, "off", "doc", "p").mapInArrow(_compare, COMPARED), "compared")
+    across = found.where("w is not null").select("w", "doc", "p").repartition("w").sortWithinPartitions("w", "doc", "p").mapInArrow(_across, "doc long, p long, more int")
+    return found.where("w is null"), across
+
+
+def _hot(texts: DataFrame, windows: int, tile: int, least: int = HOT) -> dict[int, int]:
+    """Anchors with ``least`` different stretches or more in about ``SAMPLE`` documents, and the tiles that all their stretches would fill."""
+    every = -(-texts.count() // SAMPLE)
+    if not every:
+        return {}
+    some = texts.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(every)) == 0)
+    seen = some.mapInArrow(_scan(np.zeros(0, np.int64), windows, 64), ROW_SQL).where("kind = 0").select("ah", "ch").distinct().groupBy("ah").agg(F.count(F.lit(1)).alias("n"))
+    return {r.ah: -(-r.n * every // tile) for r in seen.where(F.col("n") >= least).orderBy(F.desc("n"), "ah").limit(1 << 14).collect()}
+
+
+ROW_SQL = "ah long, ch long, doc long, p long, off int, more int, kind int"
+
+
+def removed(docs: DataFrame, windows: int = BLOCK, tile: int = TILE, bits: int = 64, hot: int = HOT) -> DataFrame:
+    """``doc, p, more``: windows ``p`` to ``p + more`` of the document also start earlier. A window may come up twice.
+
+    ``bits`` are those of a stretch's hash that are looked at; with few of them collisions can be tested.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    known = _hot(texts, windows, tile, hot)
+    scan = lambda: texts.mapInArrow(_scan(np.array(sorted(known), np.int64), windows, bits), ROW_SQL)
+    spread = F.when(F.col("kind") == 2, F.xxhash64("ah", "ch")).otherwise(F.col("ah"))
+    met, _ = common.cut(scan().repartition(spread).sortWithinPartitions("ah", "ch", "doc", "p").mapInArrow(_meet(known, tile), MET), "met")
+    runs = met.where("hdoc is not null").select("doc", "p", "more", "hdoc", "hp").repartition("doc").sortWithinPartitions("doc", "p").mapInArrow(_follow, RUNS)
+    found, across = _compared(texts, met.where("tile is not null"), runs)
+    out = met.where("tile is null and hdoc is null").select("doc", "p", "more").union(found.where("not bad").select("doc", "p", "more")).union(across)
+    if found.where("bad").limit(1).count():  # hashes of different stretches are equal
+        bad = found.where("bad").select(F.col("doc").alias("d"), F.col("p").alias("x"), F.col("more").alias("y"))
+        rows = scan().where("kind <> 1")
+        odd = rows.join(bad, (F.col("doc") == F.col("d")) & (F.col("p") <= F.col("x") + F.col("y")) & (F.col("x") <= F.col("p") + F.col("more"))).select(common.other("ah").alias("o")).distinct()
+        every = texts.mapInArrow(_scan(np.zeros(0, np.int64), windows, 64), ROW_SQL)
+        rows, _ = common.cut(every.where("kind = 0").withColumn("o", common.other("ah")).join(odd, "o"), "odd")
+        tiles = rows.groupBy("ah").agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("t")).select(common.other("ah").alias("o"), "t")
+        apart = rows.join(tiles, "o").select("ah", F.pmod(F.xxhash64("doc", "p"), F.col("t")).alias("tile"), "doc", "p", "off", "more", (F.col("t") > 1).alias("many"))
+        found, across = _compared(texts, apart, None)
+        out = out.union(every.where("kind = 1").select("doc", "p", "more")).union(found.select("doc", "p", "more")).union(across)
+    return out
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -414,17 +592,18 @@ def _apply(with_text: bool):
         for b in batches:
             out = []
             for text, spans in zip(b.column(1), b.column(2), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                raw = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
                 lo = hi = np.zeros(0, np.int64)
                 if spans.is_valid and len(spans.values):
                     lo = np.asarray(spans.values.field(0)).astype(np.int64)
                     lo, hi = merged(lo, np.minimum(lo + np.asarray(spans.values.field(1)).astype(np.int64) + SPAN, len(raw)))
-                pieces, at = [], 0
-                for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                    pieces.append(raw[at:x])
+                digest, pieces, at = hashlib.sha256(), [], 0
+                for x, y in zip([*lo.tolist(), len(raw)], [*hi.tolist(), len(raw)], strict=True):
+                    digest.update(raw[at:x])
+                    if with_text:
+                        pieces.append(raw[at:x])
                     at = y
-                kept = b"".join([*pieces, raw[at:]])
-                out.append((len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+                out.append((len(raw), int((hi - lo).sum()), len(lo), digest.hexdigest(), *([b"".join(pieces)] if with_text else [])))
             cols = list(zip(*out, strict=True)) or [()] * (4 + with_text)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
@@ -432,10 +611,10 @@ def _apply(with_text: bool):
     return run
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, the bytes that are left, ``kept``."""
-    spans = removed(docs).groupBy("doc").agg(F.collect_list(F.struct("p", "more")).alias("spans"))
-    both = docs.select(F.col("doc_id").cast("long"), "text").join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
+def dedup(docs: DataFrame, with_text: bool = False, **parameters) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, the bytes that are left, ``kept``; ``parameters`` are those of :func:`removed`."""
+    spans = removed(docs, **parameters).groupBy("doc").agg(F.collect_list(F.struct("p", "more")).alias("spans"))
+    both = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_apply(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
