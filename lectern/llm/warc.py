@@ -3,8 +3,10 @@
 Each task writes one archive of gzip members, one record each, under a name of its own attempt, so a
 task that runs again leaves the earlier file unread. The index sorts lines keyed by reversed host and
 path (``org,example)/page 17``) by range, packs runs of ``LINES`` lines into compressed blocks, and
-keeps for each block its first key and place: the directory, one row for thousands of captures.
-A lookup finds the block by binary search in the directory, and range-reads block and record.
+keeps for each block its first and last key and its place: the directory, one row for thousands of captures.
+A lookup finds the block by binary search in the directory, and range-reads block and record. Lookups in
+bulk (:func:`search`) are dealt to the index files by their key ranges, which are as few as the partitions
+that wrote them; a task has one file's part of the directory and its lookups in order of their keys.
 
 Records: for payloads of ``least`` bytes and more, the record with the largest id of those with equal
 payloads is the response and the others are revisits, which hold HTTP headers alone (their
@@ -136,7 +138,7 @@ def write(classified: DataFrame, folder: str) -> DataFrame:
 
 
 def index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFrame:
-    """Write sorted lines in compressed blocks; the sparse directory: ``first, file, start, size, many``."""
+    """Write sorted lines in compressed blocks; the sparse directory: ``first, last, file, start, size, many``."""
 
     def run(batches):
         fs, at = store(folder)
@@ -148,10 +150,11 @@ def index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFrame:
             out = out or fs.open_output_stream(name, compression=None)
             data = zlib.compress("\n".join(block).encode("utf-8", "surrogatepass"), 6)
             out.write(data)
-            row = (block[0].split(" ", 1)[0], name.rpartition("/")[2], place, len(data), len(block))
+            row = (block[0].rsplit(" ", 4)[0], block[-1].rsplit(" ", 4)[0], name.rpartition("/")[2], place, len(data), len(block))
             place += len(data)
             block.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["first", "file", "start", "size", "many"])
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["first", "last", "file", "start", "size", "many"])
 
         try:
             for b in batches:
@@ -166,7 +169,7 @@ def index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFrame:
                 out.close()
 
     ordered = captures.select("key", "page_id", "file", "start", "size")
-    return ordered.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, "first string, file string, start long, size long, many long")
+    return ordered.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, "first string, last string, file string, start long, size long, many long")
 
 
 def range_read(fs: pafs.FileSystem, path: str, start: int, size: int, opened: dict) -> bytes:
@@ -178,6 +181,18 @@ def range_read(fs: pafs.FileSystem, path: str, start: int, size: int, opened: di
     return opened[path].read(size)
 
 
+CAPTURES = "key string, page_id long, file string, start long, size long"
+
+
+def _lines(rows: list[str]) -> pa.RecordBatch:
+    """Index lines as captures."""
+    key, page, file, start, size = zip(*(x.rsplit(" ", 4) for x in rows), strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key), pa.array([None if x == "-" else int(x) for x in page], pa.int64()), pa.array(file), pa.array(map(int, start), pa.int64()), pa.array(map(int, size), pa.int64())],
+        ["key", "page_id", "file", "start", "size"],
+    )
+
+
 def captures_of(directory: DataFrame, folder: str) -> DataFrame:
     """The lines of all index blocks: ``key, page_id, file, start, size``."""
 
@@ -185,13 +200,81 @@ def captures_of(directory: DataFrame, folder: str) -> DataFrame:
         (fs, at), opened = store(folder), {}
         for b in batches:
             for r in b.to_pylist():
-                rows = [x.rsplit(" ", 4) for x in zlib.decompress(range_read(fs, f"{at}/{r['file']}", r["start"], r["size"], opened)).decode("utf-8", "surrogatepass").split("\n")]
-                key, page, file, start, size = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([None if x == "-" else int(x) for x in page], pa.int64()), pa.array(file), pa.array(map(int, start), pa.int64()), pa.array(map(int, size), pa.int64())], ["key", "page_id", "file", "start", "size"])
+                yield _lines(block_of(fs, at, r, opened))
+        for f in opened.values():
+            f.close()
+
+    return directory.select("file", "start", "size").mapInArrow(run, CAPTURES)
+
+
+def block_of(fs: pafs.FileSystem, at: str, r: dict, opened: dict) -> list[str]:
+    return zlib.decompress(range_read(fs, f"{at}/{r['file']}", r["start"], r["size"], opened)).decode("utf-8", "surrogatepass").split("\n")
+
+
+def _dealt(ranges: list[tuple[str, str, str]]):
+    """Keys beside the index files (first key, last key, name; in order) that may hold them."""
+    firsts, lasts, names = zip(*ranges, strict=True)
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            rows = [(names[i], k) for k in keys for i in range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))]
+            files, own = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(own, pa.string())], ["file", "first"])
+
+    return run
+
+
+def _find(folder: str):
+    """Rows sorted by index file, its directory first, then keys in order: the captures of each key."""
+
+    def run(batches):
+        (fs, at), opened = store(folder), {}
+        name, held, firsts, read_, lines, keys = None, [], [], -1, [], []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["file"] != name:
+                    name, held, firsts, read_ = r["file"], [], [], -1
+                if r["start"] is not None:  # the directory
+                    held.append(r)
+                    firsts.append(r["first"])
+                    continue
+                key = r["first"]
+                # a key may begin in the block before the first that starts with it
+                for i in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
+                    if held[i]["last"] < key:
+                        continue
+                    if read_ != i:
+                        read_, lines = i, block_of(fs, at, held[i], opened)
+                        keys = [x.rsplit(" ", 4)[0] for x in lines]
+                    if own := lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+                        yield _lines(own)
         for f in opened.values():
             f.close()
 
-    return directory.select("file", "start", "size").mapInArrow(run, "key string, page_id long, file string, start long, size long")
+    return run
+
+
+def search(directory: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
+    """The captures of ``keys(key)``, each asked for once however often it comes: ``key, page_id, file, start, size``."""
+    ranges = directory.groupBy("file").agg(F.min("first").alias("a"), F.max("last").alias("z")).collect()  # one for each partition that wrote the index
+    if not ranges:
+        return directory.sparkSession.createDataFrame([], CAPTURES)
+    wanted = keys.where("key is not null").select("key").distinct().mapInArrow(_dealt(sorted((r.a, r.z, r.file) for r in ranges)), "file string, first string")
+    none = F.lit(None)
+    lookups = wanted.select("file", none.cast("long").alias("start"), "first", none.cast("string").alias("last"), none.cast("long").alias("size"))
+    both = directory.select("file", "start", "first", "last", "size").union(lookups)
+    return both.repartition("file").sortWithinPartitions("file", F.col("start").isNull(), "first", "start").mapInArrow(_find(folder), CAPTURES)
+
+
+def keys_of(pages: DataFrame) -> DataFrame:
+    """The index keys of ``pages(page_id, url)``, as :func:`write` makes them."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(f"urn:page:{i}" if u is None else u) for i, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string())], ["key"])
+
+    return pages.select(F.col("page_id").cast("long"), "url").mapInArrow(run, "key string")
 
 
 def read(captures: DataFrame, folder: str) -> DataFrame:
@@ -245,9 +328,9 @@ def build(pages: DataFrame, least: int = 0) -> tuple[DataFrame, str, str]:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory, folder, archives = build(common.table(spark, sf_dir, "pages", "page_id", "url", "html"))
-    blocks = directory.repartition(max(1, spark.sparkContext.defaultParallelism))
-    return read(captures_of(blocks, folder), archives)
+    pages = common.table(spark, sf_dir, "pages", "page_id", "url", "html")
+    directory, folder, archives = build(pages)
+    return read(search(directory, folder, keys_of(pages)), archives)
 
 
 _LETTERS = " || ".join(
