@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -68,36 +69,36 @@ class Vocabulary:
         self.known: dict[str, bytes] = {}
 
     def piece(self, raw: bytes) -> list[int]:
-        """Ids of one piece."""
+        """Ids of one piece of any length: leaf ``i`` holds ``rank * size + i``, in 8 bytes."""
         ids = [self.leaf[b] for b in raw]
         n = len(ids)
         if n < 2:
             return ids
-        merge, none = self.merge, (1 << 40, -1)
-        size = 1 << (n - 2).bit_length() if n > 2 else 1
-        tree = [none] * (2 * size)
-        for i in range(n - 1):
-            if m := merge.get((ids[i], ids[i + 1])):
-                tree[size + i] = (m[0], i)
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a <= b else b
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(at: int, value: tuple[int, int]) -> None:
+        merge, size = self.merge, 1 << (n - 2).bit_length() if n > 2 else 1
+        none = len(self.result) * size
+        first = np.array(ids, np.int32)
+        rank = self._pair(first[:-1], first[1:]).astype(np.int64)
+        level = np.full(size, none, np.int64)
+        level[: n - 1] = np.where(rank < len(self.result), rank * size + np.arange(n - 1), none)
+        levels = [level]
+        while len(level) > 1:
+            level = np.minimum(level[::2], level[1::2])
+            levels.append(level)
+        tree = array("q", np.concatenate([np.full(1, none, np.int64), *levels[::-1]]).tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+
+        def put(at: int, value: int) -> None:
             at += size
             tree[at] = value
-            at >>= 1
-            while at:
-                a, b = tree[2 * at], tree[2 * at + 1]
-                best = a if a <= b else b
+            while at > 1:
+                best = min(tree[at], tree[at ^ 1])
+                at >>= 1
                 if tree[at] == best:
                     break
                 tree[at] = best
-                at >>= 1
 
-        while tree[1] != none:
-            i = tree[1][1]
+        while tree[1] < none:
+            i = tree[1] % size
             j = after[i]
             ids[i] = merge[ids[i], ids[j]][1]
             ids[j] = -1
@@ -106,10 +107,10 @@ class Vocabulary:
                 put(j, none)
             if k < n:
                 before[k] = i
-            put(i, (m[0], i) if k < n and (m := merge.get((ids[i], ids[k]))) else none)
+            put(i, m[0] * size + i if k < n and (m := merge.get((ids[i], ids[k]))) else none)
             p = before[i]
             if p >= 0:
-                put(p, (m[0], p) if (m := merge.get((ids[p], ids[i]))) else none)
+                put(p, m[0] * size + p if (m := merge.get((ids[p], ids[i]))) else none)
         return [x for x in ids if x >= 0]
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
