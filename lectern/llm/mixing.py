@@ -152,7 +152,7 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share=SHARE, repeats: int = REPEATS)
         own = sizes.join(F.broadcast(at.select("p", "num", "cut")), "p").where((F.shiftright("h", shift + 10) == F.col("cut")) & (F.col("num") > 0))
         buckets = own.groupBy("p", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("z"))
         got: dict[str, list] = {}
-        for r in buckets.where("z > 0").collect() if len(rows) * 1024 <= 1 << 18 else _at_cut(buckets.where("z > 0"), at).collect():
+        for r in _at_cut(buckets.where("z > 0"), at).collect():
             got.setdefault(r.p, []).append((r.b, r.z))
         after = []
         for r in at.collect():
@@ -168,7 +168,7 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share=SHARE, repeats: int = REPEATS)
 
 
 def _at_cut(buckets: DataFrame, at: DataFrame) -> DataFrame:
-    """Of many patterns' buckets only what tells the cut: the bucket that holds it, and the sum below as one."""
+    """Of each pattern's buckets only what tells the cut: the bucket that holds it, and the sum below as one."""
     below = F.coalesce(F.sum("z").over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cum = buckets.withColumn("below", below).join(F.broadcast(at.select("p", "num")), "p").where("below <= num and num < below + z")
     return cum.select("p", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("b"), F.col("below").alias("z")), F.struct("b", "z"))).alias("x")).select("p", "x.b", "x.z")
