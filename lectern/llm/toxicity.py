@@ -8,8 +8,8 @@ It learns from a bounded sample: about ``SAMPLE[c]`` labelled rows of class c, c
 id, whose texts have at most ``LONGEST`` characters. Scoring reads every whole text in one pass.
 
 Defined results: null text counts as empty; an empty text gets the score of the intercept; with no
-rows of a class to learn from, every score is 0; null ids or labels are never learned from; several
-labels of one document all count; repeated rows give repeated rows.
+rows of a class to learn from, every score is 0; null ids or labels are never learned from and are not
+held out; different labels of one document all count, equal ones once; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -99,13 +99,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
         return fit([], [])
     share = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = usable.where(share < F.when(F.col("toxic") == 1, sample[1] / counts[1]).otherwise(sample[0] / counts[0]))
-    rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
+    held = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(chosen.distinct()), "doc_id")
+    # however often an id is repeated, one text of it comes to the driver for each label
+    rows = held.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: (r[0], r[1], r[2] or ""))
     return fit([r[2] for r in rows], [r[1] for r in rows])
 
 
 def held_out(column: str):
-    return F.crc32(F.col(column).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,39 @@ def test_top_k(spark, shard):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_asks_few_shards(spark):
+    """Shards whose bound lies below what the first shards gave are asked by no query."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((24, 16)) * 4
+    rows = [(i, [float(x) for x in np.float32(centres[i % 24] + rng.standard_normal(16) * 0.1)]) for i in range(2400)]
+    df, asked = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), []
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 100 = 0"), shard=100, asked_in=asked).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == best_by_definition([(i, [np.float32(x) for x in v]) for i, v in rows])
+    assert asked[0] == 24 and sum(asked) < 24 * 24 / 3
+
+
+def test_top_k_edges(spark):
+    """Repeated rows, a third of all vectors equal, lengths that no centre has, and numbers beyond 64 bits and beyond squares."""
+    rows = [(i % 7 * 100, [1.0, float(i % 3)]) for i in range(60)] + [(1000 + i, [2.0, 2.0]) for i in range(60)] + [(3000 + i * 100, [float(x) for x in range(i)]) for i in range(12)]
+    rows += [(5000, [1e300, -1e300]), (5100, [1e200, 1.0]), (5200, [-1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    limit = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    whole = [(i, [int(x) * 1024 if abs(x) > 2**52 else int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    expected = {}
+    for q, a in whole:
+        if q % 100 == 0:
+            expected.setdefault(q, []).extend((-limit(sum(x * y for x, y in zip(a, b, strict=True))), c) for c, b in whole if c != q and len(a) == len(b))
+    expected = {q: [(c, -s) for s, c in sorted(v)[:10]] for q, v in expected.items() if v}
+    for shard in (8, 4096):
+        got = {}
+        for r in topk.top_k(df, df.where("vec_id % 100 = 0"), shard=shard).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert {q: [s for _, s in v] for q, v in got.items()} == {q: [s for _, s in v] for q, v in expected.items()}
+        assert got == expected
+
+
 # --- op5
 
 
@@ -209,10 +243,29 @@ def test_index_of_many_blocks(spark):
     captures, _ = warc.common.cut(warc.write(warc.classify(pages), archives), "cap")
     held = sorted((r.asDict() for r in warc.index(captures, folder, lines=7).collect()), key=lambda r: r["first"])
     assert len(held) > 60
+    found = warc.search(spark.createDataFrame(held), folder, spark.createDataFrame([(f"example,h{h})/",) for h in (3, 3, 17, 39, 99)], "key string")).collect()
+    assert sorted(r.page_id for r in found) == sorted(i for h in (3, 17, 39) for i in range(h, 500, 40))
+    every = warc.search(spark.createDataFrame(held), folder, warc.keys_of(pages))
+    assert sorted(r.page_id for r in every.collect()) == list(range(500))
     for h in range(0, 40, 3):
         assert sorted(r["page_id"] for r in warc.lookup(held, f"http://h{h}.example/", folder, archives)) == list(range(h, 500, 40))
 
 
+def test_search_reads_only_the_blocks_that_may_hold_a_key(spark, monkeypatch):
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.format_string("%03d", F.col("id") % 200), F.lit(".example/")).alias("url"), F.lit("x").alias("html"))
+    archives, folder = warc.common.fresh_path(spark, "w"), warc.common.fresh_path(spark, "c")
+    captures, _ = warc.common.cut(warc.write(warc.classify(pages), archives), "cap")
+    held = sorted((r.asDict() for r in warc.index(captures.coalesce(1), folder, lines=5).collect()), key=lambda r: (r["file"], r["first"], r["start"]))
+    read, real = [], warc.range_read
+    monkeypatch.setattr(warc, "range_read", lambda fs, path, start, size, opened: read.append(start) or real(fs, path, start, size, opened))
+    own = [r for r in held if r["file"] == held[0]["file"]]
+    keys = sorted({x for r in own[3:40:9] for x in (r["first"], r["last"])})
+    rows = [{k: r[k] for k in ("file", "start", "first", "last", "size")} for r in own] + [{"file": own[0]["file"], "start": None, "first": k, "last": None, "size": None} for k in keys]
+    found = [x for b in warc._find(folder)([pa.RecordBatch.from_pylist(rows)]) for x in b.to_pylist()]
+    assert {x["key"] for x in found} == set(keys) and len(found) == sum(k == x for k in keys for x in (f["key"] for f in found))
+    assert len(own) > 20 and len(read) <= 3 * len(keys)
+
+
 # --- op8
 
 
@@ -282,6 +335,17 @@ def test_mix_of_overlapping_sources(spark):
     assert mixing.plan(sizes.limit(0))[0].count() == 0
 
 
+def test_mix_of_many_patterns(spark):
+    """Several hundred sources: what is taken comes to each target, but for the part of one bucket."""
+    docs = [(i, [f"s{i % 400:03d}"], 5 + i % 11) for i in range(8000)]
+    sizes = spark.createDataFrame(docs, "doc_id long, sources array<string>, size long").withColumn("p", mixing.key(F.col("sources"))).withColumn("h", mixing.seeded(F.col("doc_id")))
+    cuts, targets = mixing.plan(sizes)
+    taken = sizes.join(cuts, "p").select(F.element_at("sources", 1).alias("source"), "size", mixing.taken().alias("taken"))
+    got = {r.source: (r.taken, r.most) for r in taken.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect()}
+    goal = {r.source: r.target for r in targets.collect()}
+    assert len(got) == 400 and all(abs(t - goal[s]) <= 1 for s, (t, _) in got.items()) and taken.where("taken > 2 * size or taken < 0").count() == 0
+
+
 def test_mix_edges(spark, tmp_path):
     rows = [(i, "w " * (i % 5), ["a", "b", None][i % 3]) for i in range(60)] + [(None, "x y", "a"), (7, "dup dup", "b"), (7, "dup dup", "b"), (99, None, "c"), (98, "", "c")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))

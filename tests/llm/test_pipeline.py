@@ -54,7 +54,7 @@ def test_sources_come_near_their_targets(spark, docs, sf):
 def test_tokens_and_the_whole_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     rows = out.collect()
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "ids"] and rows
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and rows
     assert all(r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() for r in rows)
     assert all(np.frombuffer(r.ids, "<u4").max(initial=0) < 50257 for r in rows)
 

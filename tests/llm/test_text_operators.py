@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -47,8 +50,8 @@ def removed_by_definition(docs):
     return out
 
 
-def check_suffix(spark, docs):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(spark.createDataFrame(docs, TEXT).repartition(3)).collect()}
+def check_suffix(spark, docs, **parameters):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(spark.createDataFrame(docs, TEXT).repartition(3), **parameters).collect()}
     assert got == removed_by_definition(docs)
 
 
@@ -59,10 +62,49 @@ def test_suffix_dedup(spark):
     check_suffix(spark, docs)
 
 
-def test_suffix_dedup_common_passage_in_many_different_documents(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "TILE", 8)
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_suffix_dedup_common_passage_in_many_different_documents(spark, hot):
+    """In tiles of 8 stretches, by anchors known to be hot and by those that aren't."""
     passage = words(7, 30)
-    check_suffix(spark, [(i, words(100 + i, 12) + passage + words(500 + i, 12)) for i in range(60)])
+    check_suffix(spark, [(i, words(100 + i, 12) + passage + words(500 + i, 12)) for i in range(60)], tile=8, hot=hot)
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_suffix_dedup_when_stretch_hashes_collide(spark, bits):
+    """Nothing is removed on a hash: with hashes of a few bits different stretches look equal everywhere."""
+    passage = words(31, 60)
+    docs = [(i, passage[i : i + 150] + words(700 + i, 8) + passage[200:330] + words(900 + i % 4, 30)) for i in range(40)]
+    check_suffix(spark, [*docs, (50, "z" * 400), (51, passage + passage)], bits=bits, tile=16)
+
+
+def test_suffix_dedup_of_texts_longer_than_blocks_and_parts(spark):
+    """Long texts with repeats within and between them, hashed in small blocks; runs longer than are compared at once."""
+    rng = random.Random(6)
+    long, tail = "".join(rng.choices("abcdefgh ", k=30_000)), words(62, 400)
+    docs = [(0, long), (1, long[10_000:29_000] + tail), (2, tail + long[:9_999]), (3, "é" + long), (4, long[:15_000] + long[:15_000])]
+    check_suffix(spark, docs, windows=1024)
+    check_suffix(spark, docs)
+
+
+def test_suffix_dedup_with_other_columns(spark):
+    made = spark.createDataFrame([(1, words(3, 60), 5, "x"), (2, words(3, 60), 6, "y")], "doc_id long, text string, doc long, spans string")
+    got = suffix.dedup(made, with_text=True)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got.collect()) == [(1, words(3, 60).encode()), (2, b"")]
+
+
+def test_memory_of_a_long_text_is_bounded():
+    """Scanning a text of 24 MiB holds little more than one of 6."""
+    rng, peaks = np.random.default_rng(3), []
+    for size in (6 << 20, 24 << 20):
+        raw = rng.integers(97, 123, size, np.uint8).tobytes()
+        batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([raw], pa.binary())], ["doc_id", "text"])
+        tracemalloc.start()
+        windows = sum(int(np.asarray(b.column(5)).astype(np.int64).sum()) + b.num_rows for b in suffix._scan(np.zeros(0, np.int64), suffix.BLOCK, 64)([batch]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert windows == size - suffix.SPAN + 1
+    assert peaks[1] < 400 << 20 and peaks[1] - peaks[0] < 6 * (18 << 20)
 
 
 def test_suffix_dedup_empty_and_ids(spark):
@@ -314,6 +356,23 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+def test_tables_between_steps_are_deleted(spark):
+    with common.swept() as kept:
+        _, gone = common.cut(spark.range(3), "a")
+        left, path = common.cut(spark.range(4), "b")
+        kept.add(path)
+    assert left.count() == 4 and not os.path.exists(gone.removeprefix("file:")) and os.path.exists(path.removeprefix("file:"))
+    common.sweep(set(common._made) - {path})
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_hub_of_many_links(spark):
+    """A hub whose links are most of all, and a second one tied to it by one link."""
+    edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(5001, 6000)] + [(2999, 5500)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 4000 and set(got.values()) == {0}
+
+
 # --- op9
 
 
@@ -348,6 +407,20 @@ def test_bpe_any_text(vocabulary, library, text):
     same(vocabulary, library, text)
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, "ab" * 120_000, "=" * 100_000, "漢字" * 40_000])
+def test_bpe_of_one_very_long_piece(vocabulary, library, text):
+    same(vocabulary, library, text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(min_size=1, max_size=90))
+def test_bpe_trees_of_one_piece_and_of_many_agree(vocabulary, raw):
+    if len(raw) <= bpe.SHORT and len(raw) > 1:
+        size = max(8, 1 << (len(raw) - 1).bit_length())
+        assert vocabulary._in_step([raw], size) == [np.array(vocabulary.piece(raw), "<u4").tobytes()]
+    assert b"".join(vocabulary.bytes[i] for i in vocabulary.piece(raw)) == raw
+
+
 def test_bpe_tables(spark, sf, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "")], TEXT))
     texts = {r.doc_id: r.text for r in docs.collect()}
