@@ -2,8 +2,9 @@
 
 ``STAGES`` lists ``(name, function)``; each function takes ``(spark, docs, sf_dir)``. All but the last
 return the columns of ``documents``. ``run`` applies them in turn, writing each result as Parquet to
-the shared folder and reading it again, so a later stage never recomputes an earlier one. It returns
-the columns ``RESULT`` of the last stage's table, which also holds the digests of the decoded texts.
+the shared folder and reading it again, so a later stage never recomputes an earlier one; what a stage
+wrote for itself, and the table it started from, go when its result is there. It returns the columns
+``RESULT`` of the last stage's table.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ STAGES = [
     ("tokens", encode),
 ]
 
-RESULT = ["doc_id", "n_tokens", "ids_sha256", "ids"]
+RESULT = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
 #: Learned weights, fingerprints and merges aren't SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -60,6 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for _, stage in STAGES:
-        docs, _ = common.cut(stage(spark, docs, sf_dir), "stage")
+        with common.swept() as kept:
+            docs, path = common.cut(stage(spark, docs, sf_dir), "stage")
+            kept.add(path)
+        if last:
+            common.remove(spark, last)
+        last = path
     return docs.select(*RESULT)
