@@ -16,14 +16,20 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.registry import RegistryError, Registry
+from lectern.operators import scripts
+from lectern.operators.registry import Registry, RegistryError
 
-# Fixed values.
+# Directions, marks, and the wording of warnings.
 NARRATION, LATER_CHARS = "Neutral narration.", 8
+RECOVERED = "Recovered omitted source as narrator."
+GLUED = "Split character speech from glued attribution."
+QUOTED = "Quoted speech assigned to narrator; review speaker attribution."
+UNCERTAIN = "Uncertain speaker; used narrator."
+TRIMMED = "Delivery trimmed to vocal performance"
 CLOSING = {"“": "”", "‘": "’", '"': '"', "'": "'"}
 OPENERS_BEFORE = "([{—–-"
 EVENTS = re.compile(r"[\"'“”‘’]|\n[ \t]*\n")
@@ -119,8 +125,11 @@ def fold(text: str) -> str:
 
 @dataclass
 class Aligned:
+    """``deliveries``: the segments of an answer that tells how lines sound; rows name the one they are of as ``told``."""
+
     rows: list[dict] = field(default_factory=list)
     warnings: list[dict] = field(default_factory=list)
+    deliveries: list[dict] = field(default_factory=list)
     characters: dict = field(default_factory=dict)
 
 
@@ -128,33 +137,35 @@ class Aligner:
     """Takes segments one by one."""
 
     def __init__(self, source: Source, out: Aligned):
-        self.source, self.out, self.cursor = source, out, 0
+        self.source, self.out, self.cursor, self.told = source, out, 0, None
 
     def warn(self, text: str, reason: str) -> None:
         self.out.warnings.append({"text": text, "reason": reason})
 
-    def row(self, first: int, last: int, speaker: str, direction: str, reaction: str) -> None:
+    def row(self, first: int, last: int, speaker: str, direction: str, reaction: str, told: str | None = None) -> None:
         a, b = self.source.bounds(first, last)
-        self.out.rows.append({"speaker_id": speaker, "text": self.source.text[a:b], "direction": direction, "reaction": reaction, "pause_after_ms": self.source.pause(first, last)})
+        self.out.rows.append({"speaker_id": speaker, "text": self.source.text[a:b], "direction": direction, "reaction": reaction, "pause_after_ms": self.source.pause(first, last), "told": told})
 
     def recover(self, last: int) -> None:
         """The narrator gets everything up to ``last``."""
         a, b = self.source.bounds(self.cursor, last)
-        self.warn(self.source.text[a:b], "Recovered omitted source as narrator.")
+        self.warn(self.source.text[a:b], RECOVERED)
+        told, self.told = self.told, None
         self.emit(last, "narrator", NARRATION, "")
+        self.told = told
 
     def emit(self, last: int, speaker: str, direction: str, reaction: str) -> None:
         first, (a, b) = self.cursor, self.source.bounds(self.cursor, last)
         text = self.source.text[a:b]
         self.cursor = last
         if speaker != "narrator" and any(c.isalnum() and not self.source.quoted(a + i) for i, c in enumerate(text)):
-            self.warn(text, "Split character speech from glued attribution.")
+            self.warn(text, GLUED)
             for x, y, speech in self.source.runs(first, last):
-                self.row(x, y, *((speaker, direction, reaction) if speech else ("narrator", NARRATION, "")))
+                self.row(x, y, *((speaker, direction, reaction, self.told) if speech else ("narrator", NARRATION, "")))
             return
         if speaker == "narrator" and self.source.touches_speech(a, b):
-            self.warn(text, "Quoted speech assigned to narrator; review speaker attribution.")
-        self.row(first, last, speaker, direction, reaction)
+            self.warn(text, QUOTED)
+        self.row(first, last, speaker, direction, reaction, self.told)
 
     def place(self, text: str) -> int:
         """The end of a segment's text, after recovering what it skipped."""
@@ -178,11 +189,12 @@ class Aligner:
             raise FidelityError(f"the reaction {reaction} has no support in the source nearby")
 
 
-def align(text: str, response: dict, characters: dict, spans: list[tuple[int, int]] | None = None, voiced=None) -> Aligned:
+def align(text: str, response: dict, characters: dict, spans: list[tuple[int, int]] | None = None, delivered: bool = False) -> Aligned:
     """Validate a response ``{characters, segments}`` against its source chunk.
 
-    ``voiced``: for annotators that give ``delivery`` instead of ``direction`` and ``reaction``, a function
-    of delivery and speaker that keeps what can be voiced. Errors: :class:`FidelityError`, ``RegistryError``.
+    ``delivered``: the annotator gives ``delivery`` instead of ``direction`` and ``reaction``. It is kept as
+    given, with the segment's speaker as ``told``, for ``prompts.performed`` to make a direction of.
+    Errors: :class:`FidelityError`, ``RegistryError``.
     """
     segments = response.get("segments") if isinstance(response, dict) else None
     if not isinstance(segments, list) or not segments or not isinstance(response.get("characters"), list):
@@ -191,25 +203,24 @@ def align(text: str, response: dict, characters: dict, spans: list[tuple[int, in
     renamed = registry.update(response["characters"])
     out = Aligned(characters=registry.characters)
     aligner = Aligner(Source(text, spans), out)
-    names = ("text", "speaker_id", "delivery") if voiced else ("text", "speaker_id", "direction", "reaction")
+    names = ("text", "speaker_id", "delivery") if delivered else ("text", "speaker_id", "direction", "reaction")
     for s in segments:
         if not isinstance(s, dict) or not all(isinstance(s.get(k), str) for k in names) or not isinstance(s.get("uncertain"), bool):
             raise FidelityError("invalid segment fields")
-        direction, reaction = s.get("direction"), s.get("reaction")
-        if voiced:
-            kept = voiced(s["delivery"], s["speaker_id"])
-            if fold(kept).rstrip(".") != fold(s["delivery"]).rstrip("."):
-                aligner.warn(s["text"], f"Delivery trimmed to vocal performance: {s['delivery']!r} -> {kept!r}")
-            direction, reaction = kept or (NARRATION if s["speaker_id"] == "narrator" else "Neutral."), ""
+        direction, reaction = (s["delivery"], "") if delivered else (s["direction"], s["reaction"])
+        if delivered:
+            aligner.told = s["speaker_id"]
+            out.deliveries.append({"text": s["text"], "delivery": direction, "speaker_id": s["speaker_id"]})
         last = aligner.place(s["text"])
         speaker = renamed.get(s["speaker_id"], s["speaker_id"])
         if s["uncertain"]:
             speaker = "narrator"
-            aligner.warn(s["text"], "Uncertain speaker; used narrator.")
+            aligner.warn(s["text"], UNCERTAIN)
         if speaker not in registry.characters:
             raise FidelityError(f"unknown speaker ID: {speaker}")
         aligner.check_reaction(reaction, last)
         aligner.emit(last, speaker, direction, reaction)
+    aligner.told = None
     if aligner.cursor < len(aligner.source.form):
         aligner.recover(len(aligner.source.form))
     return out
@@ -249,11 +260,10 @@ def verbatim(text: Column, segments: Column) -> Column:
     return F.array_join(F.transform(segments, T.comparison_form), "") == T.comparison_form(text)
 
 
-def cursors(segments: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``cursor`` of each segment: the characters of comparison form before it."""
+def cursors(segments: DataFrame, key: str, order: str) -> DataFrame:
+    """``cursor`` of each segment: the characters of comparison form before it; summed by blocks of a whole number ``order``."""
     size = F.length(T.comparison_form(F.col("text"))).cast("long")
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("n_form", size).withColumn("cursor", F.coalesce(F.sum("n_form").over(before), F.lit(0)).cast("long"))
+    return scripts.running_sum(segments.withColumn("n_form", size), key, order, F.col("n_form"), "cursor").withColumn("cursor", F.col("cursor").cast("long"))
 
 
 def overlaps(segments: DataFrame, speech: DataFrame, key: str, width: int = 1024) -> DataFrame:

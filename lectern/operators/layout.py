@@ -146,7 +146,7 @@ def classified(pages: DataFrame, lexicon: dict | None = None) -> DataFrame:
     blocks = F.coalesce(F.filter("blocks", lambda b: b["type"] == 0), F.array().cast(BLOCKS))
     measured = pages.withColumn("_m", F.transform(blocks, lambda b: F.struct(block_lines(b).alias("lines"), font_size(b).alias("size"), _chars(b).alias("chars"), b["bbox"].alias("bbox"))))
     sized = measured.withColumn("body_size", modal_size(F.col("_m"))).withColumn("_o", reading_order(F.col("_m"), F.col("width")))
-    joined = sized.withColumn("_t", hyphens.join_all(F.transform("_o", lambda o: o["lines"]), lexicon))
+    joined = hyphens.joined(sized, F.transform("_o", lambda o: o["lines"]), "_t", lexicon)
     parts = F.zip_with("_o", "_t", lambda o, t: F.struct(kind_of(t, o["size"], o["bbox"], F.col("width"), F.col("height"), F.col("body_size")).alias("kind"), t.alias("text"), o["size"].alias("size"), o["bbox"].alias("bbox")))
     return joined.withColumn("parts", parts).drop("_m", "_o", "_t")
 
@@ -164,7 +164,7 @@ def page_parts(pages: DataFrame, lexicon: dict | None = None, ocr=None) -> DataF
     if ocr is not None:
         read = made.withColumn("_ocr", F.when(T.is_garbage(whole), ocr)).withColumn("used_ocr", F.coalesce(~T.is_garbage(F.col("_ocr")), F.lit(False)))
         paragraphs = F.filter(F.split("_ocr", r"(?U)\n\s*\n"), lambda p: T.strip(p) != "")
-        texts = read.withColumn("_p", hyphens.join_all(F.transform(paragraphs, lambda p: F.split(p, r"\r?\n")), lexicon))
+        texts = hyphens.joined(read, F.transform(paragraphs, lambda p: F.split(p, r"\r?\n")), "_p", lexicon)
         made = texts.withColumn("segments", F.when(F.col("used_ocr"), F.transform("_p", lambda t: F.struct(F.lit("body").alias("kind"), t.alias("text")))).otherwise(F.col("segments"))).drop("_ocr", "_p")
     images = F.coalesce(F.size(F.filter("blocks", lambda b: b["type"] == 1)), F.lit(0))
     few = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + T.letters(s["text"])) < T.MIN_LETTERS

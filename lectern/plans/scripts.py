@@ -17,12 +17,12 @@ from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import prompts as P
 from lectern.functions import text as T
-from lectern.operators import alignment, chunking, scripts
+from lectern.operators import alignment, blocks, chunking, scripts
 from lectern.operators.registry import NARRATOR, Registry, RegistryError
 from lectern.plans.annotators import AnnotatorError, Truncated
 from lectern.sources.config import engine_name
@@ -62,6 +62,7 @@ class State:
 class Step(NamedTuple):
     rows: list
     warnings: list
+    deliveries: list
     failures: list
 
 
@@ -93,7 +94,7 @@ def listed(answer) -> list:
 
 def advance(source: str, spans: list[tuple[int, int]], state: State, annotator, recipe: Recipe) -> Step:
     """One book, up to and with one accepted answer (or one that makes its chunks smaller)."""
-    out = Step([], [], [])
+    out = Step([], [], [], [])
     state.limit = state.limit or recipe.chunk_chars or max(1, len(source))
     breaks = chunking.Breaks(source)
 
@@ -119,19 +120,20 @@ def advance(source: str, spans: list[tuple[int, int]], state: State, annotator,
         while state.phase == "script" and state.offset < len(source):
             chunk = chunking.next_chunk(source, state.offset, state.limit, breaks)
             if chunk.heading:
-                out.rows.append({"speaker_id": "narrator", "text": chunk.text, "direction": HEADING_DIRECTION, "reaction": "", "pause_after_ms": T.PAUSES["heading"], "heading": True})
+                out.rows.append({"speaker_id": "narrator", "text": chunk.text, "direction": HEADING_DIRECTION, "reaction": "", "pause_after_ms": T.PAUSES["heading"], "told": None, "heading": True})
             elif chunk.text.strip():
                 prior = (state.prior + out.rows)[-scripts.PRIOR_ROWS :]
                 data = {
                     "source": chunk.text, "context_before": source[max(0, chunk.start - chunking.BEFORE) : chunk.start], "context_after": source[chunk.end : chunk.end + chunking.BEFORE],
                     "characters": state.characters, "prior_segments": [{"speaker_id": r["speaker_id"], "text": r["text"][-scripts.PRIOR_CHARS :]} for r in prior],
                 }
-                seen, voiced = alignment.clip_spans(spans, chunk.start, chunk.end), P.voiced if recipe.engine == "dramabox" else None
+                seen, delivered = alignment.clip_spans(spans, chunk.start, chunk.end), recipe.engine == "dramabox"
                 call = lambda f: annotator.annotate(recipe.prompt, data, f, "script")  # noqa: B023, E731
-                made = ask(state, chunk.text, call, lambda answer: alignment.align(chunk.text, answer, state.characters, seen, voiced), out.failures)  # noqa: B023
+                made = ask(state, chunk.text, call, lambda answer: alignment.align(chunk.text, answer, state.characters, seen, delivered), out.failures)  # noqa: B023
                 if made is None:
                     break
                 out.rows.extend(r | {"heading": False} for r in made.rows)
+                out.deliveries.extend(made.deliveries)
                 new = sorted(set(made.characters) - set(state.characters) - set(state.sheet))
                 out.warnings.extend([*made.warnings, *({"text": made.characters[s]["name"], "reason": "Speaker not in the character sheet; added during annotation."} for s in new)])
                 state.characters, state.offset = made.characters, chunk.end
@@ -146,7 +148,7 @@ def advance(source: str, spans: list[tuple[int, int]], state: State, annotator,
 
 
 STATE = "book_id string, identity string, state string, phase string"
-ROUND = f"{STATE}, rows array<struct<speaker_id: string, text: string, direction: string, reaction: string, pause_after_ms: int, heading: boolean>>, warnings array<struct<text: string, reason: string>>, failures array<string>"
+ROUND = f"{STATE}, rows array<struct<speaker_id: string, text: string, direction: string, reaction: string, pause_after_ms: int, told: string, heading: boolean>>, warnings array<struct<text: string, reason: string>>, deliveries array<struct<text: string, delivery: string, speaker_id: string>>, failures array<string>"
 
 
 def run_round(books: DataFrame, make_annotator: Callable, recipe: Recipe) -> DataFrame:
@@ -160,8 +162,8 @@ def run_round(books: DataFrame, make_annotator: Callable, recipe: Recipe) -> Dat
                 annotator = annotator or make_annotator()
                 state = State(**json.loads(r["state"])) if r["state"] else State()
                 step = advance(r["text"], [(s["start"], s["end"]) for s in r["spans"]], state, annotator, recipe)
-                out.append((r["book_id"], r["identity"], json.dumps(state.__dict__, ensure_ascii=False), state.phase, step.rows, step.warnings, step.failures))
-            yield pd.DataFrame(out, columns=["book_id", "identity", "state", "phase", "rows", "warnings", "failures"])
+                out.append((r["book_id"], r["identity"], json.dumps(state.__dict__, ensure_ascii=False), state.phase, *step))
+            yield pd.DataFrame(out, columns=["book_id", "identity", "state", "phase", "rows", "warnings", "deliveries", "failures"])
 
     return books.mapInPandas(run, ROUND)
 
@@ -229,11 +231,15 @@ def collected(spark: SparkSession, folder: str, rounds: int, recipe: Recipe) ->
     paths = [f"{folder}/round={i}" for i in range(rounds)]
     every = spark.read.schema(ROUND).option("basePath", folder).parquet(*paths).withColumn("round", F.regexp_extract(F.col("_metadata.file_path"), r"/round=(\d+)/", 1).cast("long")) if paths else spark.createDataFrame([], f"{ROUND}, round long")
     segments = every.select("book_id", "round", F.posexplode("rows").alias("nth", "r")).select("book_id", (F.col("round") * (1 << 32) + F.col("nth")).alias("seg"), "r.*")
-    follows = F.lead("heading").over(Window.partitionBy("book_id").orderBy("seg"))
-    paused = segments.withColumn("pause_after_ms", F.when(F.coalesce(follows, F.lit(False)), T.PAUSES["heading"]).otherwise(F.col("pause_after_ms")))
+    followed = blocks.following(segments, "book_id", F.floor(F.col("seg") / (1 << 40)), ["seg"], "heading", "_follows")  # blocks of 256 rounds
+    paused = followed.withColumn("pause_after_ms", F.when(F.coalesce("_follows", F.lit(False)), T.PAUSES["heading"]).otherwise(F.col("pause_after_ms"))).drop("_follows")
+    paused = paused.withColumn("direction", F.when(F.col("told").isNull(), F.col("direction")).otherwise(P.performed(F.col("direction"), F.col("told")))).drop("told")
+    told = every.select("book_id", F.explode("deliveries").alias("d")).select("book_id", "d.*").where(P.trimmed(F.col("delivery"), F.col("speaker_id")))
+    change = F.concat(F.lit(f"{alignment.TRIMMED}: "), "delivery", F.lit(" -> "), P.clean_delivery(F.col("delivery"), F.col("speaker_id")))
+    warnings = every.select("book_id", F.explode("warnings").alias("w")).select("book_id", "w.*").union(told.select("book_id", "text", change.alias("reason")))
     last = every.groupBy("book_id").agg(F.max_by(F.struct("state", "phase"), "round").alias("s")).select("book_id", "s.*")
     state = last.withColumn("characters", F.get_json_object("state", "$.characters"))
     return Scripts(
-        scripts.emit(paused, recipe.segment_chars), state.select("book_id", "characters"), every.select("book_id", F.explode("warnings").alias("w")).select("book_id", "w.*"),
+        scripts.emit(paused, recipe.segment_chars), state.select("book_id", "characters"), warnings,
         every.select("book_id", "round", F.explode("failures").alias("reason")), state.where("phase = 'failed'").select("book_id", F.get_json_object("state", "$.error").alias("error")),
     )

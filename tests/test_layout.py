@@ -31,32 +31,49 @@ BODY = "A plain body line with more than forty characters in it, for the size."
 
 
 def test_chapter_heading_title_and_drop_cap(spark):
-    page = [text(72, 80, 300, 100, "CHAPTER", size=20.0), text(72, 110, 300, 130, "1", size=20.0), text(72, 210, 300, 230, "An Empty Road", size=20.0), text(72, 260, 500, 320, [("T", 24.0), ("he Wheel of Time turns, and Ages come and pass, it is said.", 14.0)])]
+    page = [text(72, 80, 300, 100, "CHAPTER", size=20.0), text(72, 110, 300, 130, "1", size=20.0), text(72, 210, 300, 230, "Low Water", size=20.0), text(72, 260, 500, 320, [("T", 24.0), ("he river keeps its own calendar, and the mill keeps the river's.", 14.0)])]
     got, _ = convert(spark, [page])
-    assert got == "CHAPTER 1\n\nAn Empty Road\n\nThe Wheel of Time turns, and Ages come and pass, it is said.\n"
+    assert got == "CHAPTER 1\n\nLow Water\n\nThe river keeps its own calendar, and the mill keeps the river's.\n"
 
 
 def test_hyphens_at_line_ends(spark):
     lexicon = {"gathered": (4.0, False)}
-    page = [text(72, 100, 500, 300, "The cloud was earth-", "colored and the men gath-", "ered around their black-", "cloaked captain in silence.")]
+    page = [text(72, 100, 500, 300, "The dusk was rust-", "colored and the crew gath-", "ered behind their grey-", "cloaked pilot and waited.")]
     got, _ = convert(spark, [page], lexicon=lexicon)
-    assert "earth-colored" in got and "gathered" in got and "black-cloaked" in got
-    assert hyphens.join_lines(["cloud-capped peaks", "were visible."], {}) == "cloud-capped peaks were visible."
+    assert "rust-colored" in got and "gathered" in got and "grey-cloaked" in got
 
 
-@pytest.mark.parametrize(("left", "right", "expected"), [("earth", "colored", "earth-colored"), ("black", "cloaked", "black-cloaked"), ("gath", "ered", "gathered"), ("un", "known", "un-known")])
+@pytest.mark.parametrize(("left", "right", "expected"), [("rust", "colored", "rust-colored"), ("grey", "cloaked", "grey-cloaked"), ("gath", "ered", "gathered"), ("un", "known", "un-known")])
 def test_resolve_in_both_forms(spark, left, right, expected):
     lexicon = spark.createDataFrame([("gathered", 4.0, False), ("unknown", 3.6, False), ("un-known", 3.4, False)], "word string, zipf double, listed boolean")
     pairs = spark.createDataFrame([(left, right)], "left string, right string")
     assert hyphens.resolve(pairs, lexicon).first()["joined"] == expected
-    assert hyphens.decide(left, right, hyphens.held_lexicon(lexicon)) == expected
-
-
-def test_fold_without_lexicon_is_the_same_in_both_forms(spark):
-    cases = [["T", "he end-", "ing of it-", "2 all"], ["", " a ", None, "b"], [], ["wo-"], ["x-", "Y z"], ["ab", "Cd"]]
-    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c array<string>")
-    got = [r[0][0] for r in rows.select(hyphens.join_all(F.array("c")), "i").orderBy("i").collect()]
-    assert got == [hyphens.join_lines(c, {}) for c in cases]
+    lines = spark.createDataFrame([(f"{left}-", f"{right}.")], "a string, b string")
+    assert hyphens.joined(lines, F.array(F.array("a", "b")), "t", hyphens.held_lexicon(lexicon)).first().t == [expected + "."]
+
+
+#: Lines, and their text without a lexicon and with one that knows "ending", "Thebes", "overtime" and "overtimes".
+FOLDS = [
+    (["T", "he end-", "ing of it-", "2 all"], "The end-ing of it2 all", "The ending of it2 all"),
+    (["", " a ", None, "b"], "ab", "ab"),
+    ([], "", ""),
+    (["wo-"], "wo-", "wo-"),
+    (["x-", "Y z"], "x-Y z", "x-Y z"),
+    (["ab", "Cd"], "ab Cd", "ab Cd"),
+    (["It took over-", "time-", "s pay"], "It took over-time-s pay", "It took overtimes pay"),
+    (["Th", "e-", "bes fell"], "The-bes fell", "Thebes fell"),
+    (["a rust-", "colored end-", "ING"], "a rust-colored end-ING", "a rust-colored endING"),
+    (["snow-capped tops", "stood out."], "snow-capped tops stood out.", "snow-capped tops stood out."),
+]
+
+
+def test_lines_folded_with_and_without_a_lexicon(spark):
+    lexicon = {w: (4.0, False) for w in ("ending", "thebes", "overtime", "overtimes")}
+    rows = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(FOLDS)], "i int, c array<string>")
+    got = hyphens.joined(hyphens.joined(rows, F.array("c"), "a"), F.array("c", F.array(F.lit("x"))), "b", lexicon).orderBy("i").collect()
+    assert [r.a[0] for r in got] == [a for _, a, _ in FOLDS] and [tuple(r.b) for r in got] == [(b, "x") for _, _, b in FOLDS]
+    none = spark.createDataFrame([(None,)], "c array<array<string>>")
+    assert hyphens.joined(none, F.col("c"), "t", lexicon).first().t is None
 
 
 def test_running_headers_and_page_numbers_go(spark):

@@ -23,8 +23,8 @@ def test_comparison_form(spark):
 
 
 def test_clean_source(spark):
-    got = column(spark, ["# source: test.pdf\n\nCHAPTER 1\n\n--- page 2 ---\n\nA quiet room.", "﻿one\r\n #x\r\ntwo", "# all\n", "", None, " --- page 3 --- \nkept --- page 4 ---"], T.clean_source)
-    assert got == ["CHAPTER 1\n\n\nA quiet room.", "one\ntwo", None, None, None, "kept --- page 4 ---"]
+    got = column(spark, ["# made from: sample\n\nPART 9\n\n--- page 2 ---\n\nNobody swept the hall.", "﻿one\r\n #x\r\ntwo", "# all\n", "", None, " --- page 3 --- \nkept --- page 4 ---"], T.clean_source)
+    assert got == ["PART 9\n\n\nNobody swept the hall.", "one\ntwo", None, None, None, "kept --- page 4 ---"]
 
 
 def test_gender(spark):
@@ -43,7 +43,7 @@ def test_digest_is_of_the_json_form(spark):
     assert column(spark, values, T.digest) == [hashlib.sha256(json.dumps(v, ensure_ascii=False).encode()).hexdigest() for v in values]
 
 
-@pytest.mark.parametrize(("a", "b", "expected"), [("green about", "them.", True), ("It ended.", "Then", False), ("It ended", "Then", True), ("wo-", "Rd", True), ("He said “no.”", "Then", False), ("", "x", False), ("x.", "lower", True)])
+@pytest.mark.parametrize(("a", "b", "expected"), [("the cold", "front.", True), ("It froze.", "Later", False), ("It froze", "Later", True), ("la-", "Dder", True), ("Odo said “pull.”", "Then", False), ("", "x", False), ("x.", "lower", True)])
 def test_continuation(spark, a, b, expected):
     row = spark.createDataFrame([(a, b)], "a string, b string").select(T.is_continuation(F.col("a"), F.col("b"))).first()
     assert row[0] is expected
@@ -76,7 +76,7 @@ def split_reference(text, limit):
 
 
 def test_split_cases(spark):
-    texts = ["word " * 200, "The sun rose over the distant green hills. " * 25, "x" * 101, "  lead. " + "a" * 90, "", None, "“No,” he said. " * 30]
+    texts = ["word " * 200, "Gulls came inland a day before the cold front. " * 25, "x" * 101, "  lead. " + "a" * 90, "", None, "“Pull,” Odo muttered. " * 30]
     got = column(spark, texts, lambda t: T.split_text(t, 100))
     assert got == [None if t is None else split_reference(t, 100) for t in texts]
     assert "".join(got[0]).replace(" ", "") == "word" * 200
@@ -96,9 +96,9 @@ def test_split_round_trip(spark, texts):
 
 
 def test_reactions_and_tags(spark):
-    df = spark.createDataFrame([("chuckle", "He chuckled. Hello.", 13, 19), ("laugh", "Hello.", 0, 6), ("", "x", 0, 1), (None, "x", 0, 1), ("angry", "angry", 0, 5), ("laugh", "laughing" + " " * 150 + "ab", 158, 160), ("laugh", "laughing" + " " * 141 + "ab", 149, 151)], "r string, s string, a int, b int")
+    df = spark.createDataFrame([("chuckle", "Odo chuckled. Look.", 14, 19), ("laugh", "Look.", 0, 5), ("", "x", 0, 1), (None, "x", 0, 1), ("angry", "angry", 0, 5), ("laugh", "laughing" + " " * 150 + "ab", 158, 160), ("laugh", "laughing" + " " * 141 + "ab", 149, 151)], "r string, s string, a int, b int")
     assert [x[0] for x in df.select(T.reaction_supported(F.col("r"), F.col("s"), F.col("a"), F.col("b"))).collect()] == [True, False, True, True, False, False, True]
-    assert column(spark, ["[whisper] Hi [laugh]", "plain", "[sic]"], T.unsupported_tags) == [["whisper"], [], ["sic"]]
+    assert column(spark, ["[whistle] Look [laugh]", "plain", "[sic]"], T.unsupported_tags) == [["whistle"], [], ["sic"]]
 
 
 def test_response_json(spark):
