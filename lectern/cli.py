@@ -1,7 +1,7 @@
 """Command line: ``python -m lectern COMMAND …``; every command reads and writes folders of tables.
 
 A book folder holds ``run`` (the annotation run), ``script``, ``characters``, ``casting``, ``clips`` and the
-outputs ``timeline``, ``books`` and ``pcm``; a library folder holds ``voices`` and ``clips``.
+outputs ``timeline``, ``books``, ``pcm`` and ``audio``, a WAV file for each book; a library folder holds ``voices`` and ``clips``.
 """
 
 from __future__ import annotations
@@ -126,6 +126,7 @@ def stitch(spark: SparkSession, a) -> None:
     made = audio.stitch(rows, casting, voices, keep.withColumn("valid", F.col("valid") & audio.valid("content")))
     for name, df in made._asdict().items():
         df.write.mode("overwrite").parquet(f"{a.book}/{name}")
+    audio.write_sounds(made, f"{a.book}/audio").collect()
 
 
 def run(spark: SparkSession, a) -> None:

@@ -21,7 +21,7 @@ from lectern.functions import prompts as P
 from lectern.operators import clips as C
 from lectern.operators import scripts as S
 from lectern.operators import voices as V
-from lectern.sources import wav
+from lectern.sources import sinks, wav
 from lectern.sources.config import Settings
 
 CLIPS = (
@@ -111,6 +111,12 @@ def stitch(script: DataFrame, casting: DataFrame, voices: DataFrame, clips: Data
     return Stitched(C.timeline(placed.drop("content")), books, parts)
 
 
+def write_sounds(made: Stitched, folder: str) -> DataFrame:
+    """One WAV file for each book below ``folder``: ``path, size``."""
+    whole = made.timeline.groupBy("book_id").agg(F.max("sample_rate").alias("sample_rate"), (F.max(F.col("end_frame") + F.col("pause_frames")) * 2).alias("size"))
+    return sinks.write_sounds(made.pcm.join(whole, "book_id"), folder)
+
+
 def check_script(script: DataFrame) -> None:
     refuse(S.faults(script), "invalid script rows")
 
@@ -127,5 +133,5 @@ def cast(script: DataFrame, voices: DataFrame, characters: DataFrame, casting: D
 
 def valid(content: Column | str) -> Column:
     """Whether stored clips can be used: decodable, finite, audible."""
-    return F.coalesce(A.audible(wav.decoded(content)["samples"]), F.lit(False))
+    return wav.heard(content, A.SILENT)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources import wav
+
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder that all executors share."""
@@ -46,6 +49,41 @@ def write_texts(texts: DataFrame, folder: str) -> DataFrame:
     return write_files(texts.select(name.alias("path"), F.encode("text", "UTF-8").alias("data")), folder)
 
 
+def write_sounds(parts: DataFrame, folder: str) -> DataFrame:
+    """One WAV file for each book of ``parts(book_id, position, data, sample_rate, size)``; ``path, size`` of what was written.
+
+    ``data``: 16-bit mono samples, ``size``: the bytes of all the book's. A file is one stream in order, so a
+    book is one task, which holds a batch of its parts; the file appears under its name when it is whole.
+    """
+
+    def run(batches):
+        fs, at = store(folder)
+        fs.create_dir(at, recursive=True)
+        book, out, part, done = None, None, "", 0
+
+        def close():
+            whole = f"{re.sub(r'[^A-Za-z0-9._-]+', '_', str(book))}.wav"
+            out.close()
+            fs.move(part, f"{at}/{whole}")
+            return pa.RecordBatch.from_arrays([pa.array([whole]), pa.array([done], pa.int64())], ["path", "size"])
+
+        for b in batches:
+            for name, data, rate, size in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if out is None or name != book:
+                    if out is not None:
+                        yield close()
+                    book, part, done = name, f"{at}/{uuid.uuid4().hex}.part", 0
+                    out = fs.open_output_stream(part, compression=None)
+                    out.write(wav.sound_header(size, rate))
+                out.write(data or b"")
+                done += len(data or b"")
+        if out is not None:
+            yield close()
+
+    ordered = parts.repartition("book_id").sortWithinPartitions("book_id", "position")
+    return ordered.select("book_id", F.col("data").cast("binary"), "sample_rate", F.col("size").cast("long")).mapInArrow(run, "path string, size long")
+
+
 def write_json(spark: SparkSession, path: str, value) -> None:
     """A small JSON document, as people edit it: indented, letters as they are."""
     folder, _, name = path.rpartition("/")

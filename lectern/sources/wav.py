@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import wave
 
 import numpy as np
@@ -11,23 +12,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def decode(content: bytes | None) -> tuple[np.ndarray, int] | None:
-    """Samples (frames, channels) in -1..1 and the rate of 8, 16, 24 or 32 bit PCM; None for anything else."""
+#: Frames that are decoded together.
+BLOCK = 65_536
+
+
+def blocks(content: bytes | None, frames: int = BLOCK):
+    """Samples (frames, channels) in -1..1 of 8, 16, 24 or 32 bit PCM, a block at a time; nothing of anything else."""
     try:
         with wave.open(io.BytesIO(content or b"")) as w:
-            width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-            raw = w.readframes(w.getnframes())
+            width, channels = w.getsampwidth(), w.getnchannels()
+            while raw := w.readframes(frames):
+                raw = raw[: len(raw) // (width * channels) * width * channels]
+                if width == 1:
+                    x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+                elif width == 3:
+                    b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+                    x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
+                else:
+                    x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
+                yield x.reshape(-1, channels)
+    except (wave.Error, EOFError):
+        return
+
+
+def head(content: bytes | None) -> tuple[int, int, int] | None:
+    """Frames, rate and channels by the header; None for what isn't PCM in WAV."""
+    try:
+        with wave.open(io.BytesIO(content or b"")) as w:
+            return w.getnframes(), w.getframerate(), w.getnchannels()
     except (wave.Error, EOFError):
         return None
-    raw = raw[: len(raw) // (width * channels) * width * channels]
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
-    else:
-        x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels), rate
+
+
+def decode(content: bytes | None) -> tuple[np.ndarray, int] | None:
+    """All samples, and the rate; None for anything but PCM in WAV."""
+    known = head(content)
+    if known is None:
+        return None
+    parts = list(blocks(content))
+    return (np.concatenate(parts) if parts else np.zeros((0, known[2]), np.float32)), known[1]
+
+
+def sound_header(size: int, rate: int) -> bytes:
+    """The bytes before ``size`` bytes of 16-bit mono samples; RF64, whose sizes have 64 bits, where RIFF's 32 don't do."""
+    kind = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16)
+    if size + 36 < 1 << 32:
+        return struct.pack("<4sI4s", b"RIFF", size + 36, b"WAVE") + kind + struct.pack("<4sI", b"data", size)
+    wide = struct.pack("<4sIQQQI", b"ds64", 28, size + 72, size, size // 2, 0)
+    return struct.pack("<4sI4s", b"RF64", (1 << 32) - 1, b"WAVE") + wide + kind + struct.pack("<4sI", b"data", (1 << 32) - 1)
 
 
 def encode(samples: np.ndarray, rate: int) -> bytes:
@@ -61,14 +93,17 @@ def facts(content: Column | str) -> Column:
 
     @F.pandas_udf("struct<frames: long, sample_rate: int, channels: int>")
     def run(content: pd.Series) -> pd.DataFrame:
-        out = []
-        for c in content:
-            try:
-                with wave.open(io.BytesIO(c or b"")) as w:
-                    out.append((w.getnframes(), w.getframerate(), w.getnchannels()))
-            except (wave.Error, EOFError):
-                out.append((None, None, None))
-        return pd.DataFrame(out, columns=["frames", "sample_rate", "channels"])
+        return pd.DataFrame([head(c) or (None, None, None) for c in content], columns=["frames", "sample_rate", "channels"])
+
+    return run(content)
+
+
+def heard(content: Column | str, silent: float) -> Column:
+    """Whether any sample is louder than ``silent``, up to the first block that has one; false where the bytes are no WAV file."""
+
+    @F.pandas_udf("boolean")
+    def run(content: pd.Series) -> pd.Series:
+        return pd.Series([any((np.abs(x.mean(axis=1)) > silent).any() for x in blocks(c)) for c in content], dtype=bool)
 
     return run(content)
 

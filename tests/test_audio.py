@@ -1,4 +1,5 @@
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -122,10 +123,10 @@ def test_references_labels_and_overlay(spark):
     assert {r.voice_id: r.reason.split()[0] for r in voices.invalid_references(v, held).collect()} == {"b": "invalid", "c": "checksum", "d": "not"}
     labels = spark.createDataFrame([("1", "M"), ("3", "F")], "speaker_id string, gender string")
     assert {r.voice_id: r.gender for r in voices.label(v, labels).collect()} == {"a": "male", "b": "female", "c": "female", "d": "unknown"}
-    ch = spark.createDataFrame([("b", "mara", "Mara", ["m"], "female", None, "")], "book_id string, speaker_id string, name string, aliases array<string>, gender string, age string, voice string")
-    sheet = spark.createDataFrame([("b", "mara", "", [], "male", "adult", "low"), ("b", "ben", "Ben", ["x"], "", None, None)], ch.schema)
+    ch = spark.createDataFrame([("b", "ines", "Ines", ["m"], "female", None, "")], "book_id string, speaker_id string, name string, aliases array<string>, gender string, age string, voice string")
+    sheet = spark.createDataFrame([("b", "ines", "", [], "male", "adult", "low"), ("b", "odo", "Odo", ["x"], "", None, None)], ch.schema)
     got = {r.speaker_id: (r.name, r.aliases, r.gender, r.age, r.voice) for r in registry.overlay(ch, sheet).collect()}
-    assert got == {"mara": ("Mara", ["m"], "male", "adult", "low"), "ben": ("Ben", ["x"], "unknown", None, None)}
+    assert got == {"ines": ("Ines", ["m"], "male", "adult", "low"), "odo": ("Odo", ["x"], "unknown", None, None)}
 
 
 def script(spark, *rows):
@@ -135,9 +136,9 @@ def script(spark, *rows):
 def test_synthesis_reuse_and_stitching(spark, tmp_path):
     lib = spark.createDataFrame([(f"v{i}", f"h{i}", "unknown") for i in range(3)], "voice_id string, sha256 string, gender string")
     none = spark.createDataFrame([], "book_id string, speaker_id string, gender string")
-    rows = script(spark, ("narrator", "Hello.", "x"), ("mara", "Welcome.", "x"))
+    rows = script(spark, ("narrator", "Morning.", "x"), ("ines", "Come up.", "x"))
     cast = plan.cast(rows, lib, none)
-    assert {r.speaker_id: r.voice_id for r in cast.collect()} == {"narrator": "v0", "mara": "v1"}
+    assert {r.speaker_id: r.voice_id for r in cast.collect()} == {"narrator": "v0", "ines": "v1"}
     s = Settings(engine="chatterbox")
     table = str(tmp_path / "clips")
 
@@ -149,7 +150,7 @@ def test_synthesis_reuse_and_stitching(spark, tmp_path):
     held = lambda: spark.read.parquet(table)
     assert synth(rows, None) == 0 and held().count() == 2
     assert synth(rows, held()) == 2 and held().count() == 2
-    changed = script(spark, ("narrator", "Hello.", "y"), ("mara", "Goodbye now.", "x"))
+    changed = script(spark, ("narrator", "Morning.", "y"), ("ines", "Go down.", "x"))
     with pytest.raises(plan.InvalidInput, match="stale"):
         plan.stitch(changed, cast, lib, held())
     assert synth(changed, held()) == 1 and held().count() == 3
@@ -158,14 +159,18 @@ def test_synthesis_reuse_and_stitching(spark, tmp_path):
     assert [(r.position, r.start_frame, r.end_frame) for r in out.timeline.orderBy("position").collect()] == [(1, 0, 1200), (2, 4800, 7200)]
     assert out.books.first()["milliseconds"] == pytest.approx(450.0) and out.books.first()["clips"] == 2
     pcm = b"".join(bytes(r.data) for r in out.pcm.orderBy("position").collect())
-    x, _ = annotators.ToneModel().generate("Hello.", "", 1, "")
+    x, _ = annotators.ToneModel().generate("Morning.", "", 1, "")
     assert len(pcm) == 2 * (1200 + 3600 + 2400 + 3600) and np.abs(np.frombuffer(pcm, "<i2")[:1200] - x * 32768).max() <= 1 and not any(pcm[2400 : 2 * 4800])
+    written = plan.write_sounds(out, str(tmp_path / "audio")).collect()
+    content = (tmp_path / "audio" / "b.wav").read_bytes()
+    assert [(r.path, r.size) for r in written] == [("b.wav", len(pcm))] and content.endswith(pcm) and len(content) == 44 + len(pcm)
+    assert wav.head(content) == (len(pcm) // 2, 24000, 1)
     assert synth(changed, held(), "other") == 0
     with pytest.raises(plan.InvalidInput, match="without a voice"):
         plan.synthesize(script(spark, ("nobody", "x", "")), cast, lib, None, annotators.ToneModel, "m", s)
-    people = spark.createDataFrame([("b", "mara", "female", "young", "a bright voice")], "book_id string, speaker_id string, gender string, age string, voice string")
-    prompted = plan.prompted(script(spark, ("mara", "“Come in.”", "She whispers.")), people, cast, lib).first()
-    assert prompted.prompt == 'A young woman with a bright voice whispers, "Come in."' and 1.5 <= prompted.seconds <= 35
+    people = spark.createDataFrame([("b", "ines", "female", "young", "a bright voice")], "book_id string, speaker_id string, gender string, age string, voice string")
+    prompted = plan.prompted(script(spark, ("ines", "“Mind the step.”", "She croaks.")), people, cast, lib).first()
+    assert prompted.prompt == 'A young woman with a bright voice croaks, "Mind the step."' and 1.5 <= prompted.seconds <= 35
 
 
 def test_order_past_nine_and_identity(spark):
@@ -179,16 +184,16 @@ def test_order_past_nine_and_identity(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = script(spark, ("narrator", "One.", "x"), ("mara", "Two.", "x"))
+    rows = script(spark, ("narrator", "One.", "x"), ("ines", "Two.", "x"))
     rows.write.parquet(str(tmp_path / "in"))
     lib = spark.createDataFrame([("v0", "h0"), ("v1", "h1")], "voice_id string, sha256 string")
-    cast = spark.createDataFrame([("b", "narrator", "v0"), ("b", "mara", "v1")], "book_id string, speaker_id string, voice_id string")
+    cast = spark.createDataFrame([("b", "narrator", "v0"), ("b", "ines", "v1")], "book_id string, speaker_id string, voice_id string")
     want = lambda df: C.desired(df, cast, lib, "m", "{}")
     make = lambda work: work.select("book_id", "position", "fingerprint", F.lit(True).alias("valid"))
     table, where = str(tmp_path / "clips"), str(tmp_path / "check")
     stream.maintain(stream.script_stream(spark, str(tmp_path / "in")), want, make, table, where).awaitTermination(120)
     assert spark.read.parquet(table).count() == 2
-    script(spark, ("narrator", "One.", "x"), ("mara", "Two, changed.", "x")).write.mode("append").parquet(str(tmp_path / "in"))
+    script(spark, ("narrator", "One.", "x"), ("ines", "Two, changed.", "x")).write.mode("append").parquet(str(tmp_path / "in"))
     stream.maintain(stream.script_stream(spark, str(tmp_path / "in")), want, make, table, where).awaitTermination(120)
     assert spark.read.parquet(table).count() == 3
     scans = spark.createDataFrame([(i + 1, str(i % 5), 9.0, True) for i in range(20)], "scan_pos long, speaker_id string, duration double, usable boolean")
@@ -220,3 +225,24 @@ def test_files(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "script")).count() == 1
     layouts = files.parsed_layouts(spark, str(tmp_path / "out"), lambda b: [{"width": 1.0, "height": 1.0, "blocks": []}] if len(b) == 9 else 1 / 0)
     assert sorted(r.page for r in layouts.collect()) == [0, 1]
+
+
+def test_sound_headers_of_any_size():
+    small, large = wav.sound_header(100, 24000), wav.sound_header(5 << 30, 48000)
+    assert len(small) == 44 and wav.head(small + bytes(100)) == (50, 24000, 1)
+    assert large[:4] == b"RF64" and large[4:8] == large[-4:] == b"\xff" * 4 and len(large) == 80
+    kind, size, riff, data, samples, _ = struct.unpack_from("<4sIQQQI", large, 12)
+    assert (kind, size, data, samples) == (b"ds64", 28, 5 << 30, 5 << 29) and riff == (5 << 30) + 72
+
+
+@pytest.mark.parametrize("frames", [1, 7, 65_536])
+def test_blocks_are_the_whole_clip(frames):
+    x = np.sin(np.arange(1000) / 9).astype(np.float32)
+    content = wav.encode(x, 8000)
+    assert np.array_equal(np.concatenate(list(wav.blocks(content, frames))), wav.decode(content)[0]) and list(wav.blocks(b"no wave")) == [] and list(wav.blocks(None)) == []
+
+
+def test_heard(spark):
+    clips = [wav.encode(np.zeros(70_000), 8000), wav.encode(np.append(np.zeros(70_000), 0.5), 8000), b"no wave", None, wav.encode(np.zeros(0), 8000)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(clips)], "i int, c binary")
+    assert [r.v for r in df.select("i", plan.valid("c").alias("v")).orderBy("i").collect()] == [False, True, False, False, False]

@@ -41,6 +41,8 @@ def test_commands_from_text_to_output(spark, tmp_path, capsys, monkeypatch):
     lines = [r.dialogue for r in spark.read.parquet(f"{book}/script").orderBy("position").collect()]
     assert lines[0] == "CHAPTER 1" and "Go on." in lines
     assert spark.read.parquet(f"{book}/books").first()["clips"] == len(lines)
+    [sound] = (tmp_path / "book" / "audio").glob("*.wav")
+    assert wav.head(sound.read_bytes())[1:] == (24000, 1)
     before = spark.read.parquet(f"{book}/clips").count()
     assert cli.main(args, spark) == 0 and spark.read.parquet(f"{book}/clips").count() == before
     assert cli.main(["stitch", str(tmp_path / "none"), lib], spark) == 1 and "nothing at" in capsys.readouterr().out
