@@ -126,7 +126,7 @@ def link_aliases(registry: DataFrame, updates: DataFrame) -> DataFrame:
     new = names(updates)
     asked = new.select("book_id", "speaker_id", F.explode(F.array_distinct(F.transform("all", F.lower))).alias("key"))
     # the owners of one speaker's names: partial sets before the shuffle
-    hits = asked.join(known, ["book_id", "key"]).groupBy("book_id", "speaker_id").agg(F.sort_array(F.collect_set("owner")).alias("owners"), F.first("had").alias("had"))
+    hits = asked.join(known, ["book_id", "key"]).groupBy("book_id", "speaker_id").agg(F.sort_array(F.collect_set("owner")).alias("owners"), F.min_by("had", "owner").alias("had"))
     both = new.join(hits, ["book_id", "speaker_id"], "left")
     found = F.coalesce(F.size("owners"), F.lit(0))
     number = F.greatest(found, F.lit(0)).cast("long")

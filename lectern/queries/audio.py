@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from lectern.functions import audio as A
 from lectern.functions import text as T
 from lectern.operators import clips as C
+from lectern.operators import voices
+from lectern.plans import annotators
+from lectern.plans import audio as plan
 from lectern.queries import cast as K
 from lectern.queries import views as V
+from lectern.sources.config import Settings
 
 QUERIES, SQL = {}, {}
 
@@ -126,24 +130,53 @@ def book_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.identity(clips(spark, sf_dir))
 
 
-@query(f"""
-WITH {V.VOICES_SQL}, c AS (SELECT book_id, voice_id FROM (VALUES (1, 'v000000000'), (1, 'v000000000'), (1, 'v000000001'), (2, 'v000000001'), (2, 'vx')) t(book_id, voice_id))
-SELECT book_id::INTEGER AS book_id, voice_id, 'unknown voice' AS reason FROM c WHERE voice_id NOT IN (SELECT voice_id FROM voices) UNION ALL SELECT book_id::INTEGER, voice_id, 'cast twice' FROM c GROUP BY book_id, voice_id HAVING count(*) > 1""")
-def casting_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.operators import voices
-
-    rows = spark.createDataFrame([(1, "v000000000"), (1, "v000000000"), (1, "v000000001"), (2, "v000000001"), (2, "vx")], "book_id int, voice_id string")
-    return voices.casting_faults(rows, V.voices(spark, sf_dir))
-
-
 @query(f"""
 WITH casting AS (WITH {_CASTING}), {V.VOICES_SQL}, p AS (SELECT book_id, CASE WHEN book_id % 5 = 0 THEN concat('x', voice_id) ELSE voice_id END AS voice_id FROM casting),
 c AS (SELECT book_id, voice_id FROM p UNION ALL SELECT book_id, voice_id FROM p WHERE book_id % 7 = 0)
 SELECT book_id, voice_id, 'unknown voice' AS reason FROM c WHERE voice_id NOT IN (SELECT voice_id FROM voices) UNION ALL SELECT book_id, voice_id, 'cast twice' FROM c GROUP BY book_id, voice_id HAVING count(*) > 1""")
-def casting_faults_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def casting_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations' whole casting, some voices unknown, some books cast twice."""
-    from lectern.operators import voices
-
     made = K.casting(spark, sf_dir).select("book_id", F.when(F.col("book_id") % 5 == 0, F.concat(F.lit("x"), "voice_id")).otherwise(F.col("voice_id")).alias("voice_id"))
     twice = F.explode(F.when(F.col("book_id") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
     return voices.casting_faults(made.select("book_id", "voice_id", twice).select("book_id", "voice_id"), V.voices(spark, sf_dir))
+
+
+@query(f"""
+WITH {CLIPS_SQL}, r AS (SELECT book_id, CASE WHEN book_id % 3 = 0 AND position % 2 = 0 THEN 48000 ELSE 24000 END AS rate FROM clips)
+SELECT book_id, count(DISTINCT rate) AS rates FROM r GROUP BY book_id HAVING count(DISTINCT rate) > 1""")
+def mixed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books some of whose clips have another rate."""
+    other = (F.col("book_id") % 3 == 0) & (F.col("position") % 2 == 0)
+    return C.mixed_rates(clips(spark, sf_dir).withColumn("sample_rate", F.when(other, 48000).otherwise(24000)))
+
+
+@query(f"""
+WITH casting AS (WITH {_CASTING}), s AS (SELECT DISTINCT conv_id AS book_id, role AS speaker_id FROM conversations)
+SELECT book_id, speaker_id FROM s WHERE NOT EXISTS (SELECT 1 FROM casting c WHERE c.book_id = s.book_id AND c.speaker_id = s.speaker_id AND (c.book_id + length(c.speaker_id)) % 4 > 0)""")
+def uncast_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speakers that a casting with gaps leaves without a voice."""
+    made = K.casting(spark, sf_dir).where((F.col("book_id") + F.length("speaker_id")) % 4 > 0)
+    return voices.uncast(V.script(spark, sf_dir), made)
+
+
+@query(f"""
+WITH {V.VOICES_SQL}, v AS (SELECT voice_id, sha256, substr(voice_id, 2)::BIGINT AS i FROM voices),
+p AS (SELECT *, CASE WHEN i % 7 = 0 THEN '../' || voice_id WHEN i % 7 = 1 THEN '/' || voice_id ELSE voice_id || '.wav' END AS path FROM v)
+SELECT voice_id, CASE WHEN i % 7 < 2 OR i % 7 = 2 THEN 'invalid or missing' WHEN i % 7 = 3 THEN 'checksum changed' ELSE 'not mono and longer than five seconds' END AS reason FROM p WHERE i % 7 < 4 OR i % 7 = 4 OR i % 7 = 5""")
+def reference_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library's clips: outside its folder, missing, changed, of two channels, or of exactly five seconds."""
+    i = F.substring("voice_id", 2, 20).cast("long") % 7
+    library = V.voices(spark, sf_dir).withColumn("i", i).withColumn("path", F.when(F.col("i") == 0, F.concat(F.lit("../"), "voice_id")).when(F.col("i") == 1, F.concat(F.lit("/"), "voice_id")).otherwise(F.concat("voice_id", F.lit(".wav"))))
+    sha = F.when(F.col("i") == 3, F.concat(F.lit("x"), "sha256")).otherwise(F.col("sha256")).alias("sha256")
+    files = library.where("i <> 2").select("path", sha, F.when(F.col("i") == 5, 120_000).otherwise(120_001).alias("frames"), F.lit(24_000).alias("sample_rate"), F.when(F.col("i") == 4, 2).otherwise(1).alias("channels"))
+    return voices.invalid_references(library, files)
+
+
+@query(rf"""
+WITH {WANTED_SQL}
+SELECT book_id, position, speaker_id, voice_id, 1200 * greatest(1, len(regexp_extract_all(dialogue, '[\p{{L}}\p{{N}}_'']+'))) AS frames, 24000 AS sample_rate, true AS valid, sha256(to_json(dialogue)::VARCHAR) AS dialogue_sha256 FROM wanted""")
+def synthesized_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clip of every line by the model that plays tones."""
+    named = lambda df: df.withColumn("book_id", F.col("book_id").cast("string"))
+    _, made = plan.synthesize(named(V.script(spark, sf_dir)).withColumn("direction", F.lit("Level.")), named(K.casting(spark, sf_dir)), V.voices(spark, sf_dir), None, annotators.ToneModel, "tone", Settings(engine="chatterbox"))
+    return made.select(F.col("book_id").cast("long").alias("book_id"), "position", "speaker_id", "voice_id", "frames", "sample_rate", "valid", "dialogue_sha256")

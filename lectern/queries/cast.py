@@ -27,8 +27,9 @@ WITH r AS (SELECT c_nationkey AS book_id, 'c' || c_custkey AS speaker_id, c_name
 u AS (SELECT c_nationkey AS book_id, 'u' || c_custkey AS speaker_id, concat('CUSTOMER#', lpad((c_custkey - c_custkey % 2)::VARCHAR, 9, '0')) AS name, ['Nick' || c_custkey, 'They', lower(c_mktsegment) || (c_custkey - 6)] AS aliases FROM customer WHERE c_custkey % 3 = 0),
 k AS (SELECT book_id, speaker_id AS owner, list_filter(aliases, lambda x: x <> 'she') AS had, unnest([speaker_id, name] || list_filter(aliases, lambda x: x <> 'she')) AS key FROM r),
 a AS (SELECT book_id, speaker_id, unnest([speaker_id, name] || list_filter(aliases, lambda x: x <> 'They')) AS key FROM u),
-h AS (SELECT a.book_id, a.speaker_id, list(DISTINCT k.owner ORDER BY k.owner) AS owners, any_value(k.had) AS had FROM a JOIN k ON a.book_id = k.book_id AND lower(a.key) = lower(k.key) GROUP BY a.book_id, a.speaker_id)
-SELECT u.book_id, u.speaker_id, coalesce(h.owners[1], u.speaker_id) AS canonical, coalesce(len(h.owners), 0)::BIGINT AS owners
+h AS (SELECT a.book_id, a.speaker_id, list(DISTINCT k.owner ORDER BY k.owner) AS owners, arg_min(k.had, k.owner) AS had FROM a JOIN k ON a.book_id = k.book_id AND lower(a.key) = lower(k.key) GROUP BY a.book_id, a.speaker_id)
+SELECT u.book_id, u.speaker_id, coalesce(h.owners[1], u.speaker_id) AS canonical, coalesce(len(h.owners), 0)::BIGINT AS owners,
+       array_to_string(list_sort(list_distinct(coalesce(h.had, []) || list_filter(u.aliases, lambda x: x <> 'They') || CASE WHEN h.owners[1] <> u.speaker_id THEN [u.name, u.speaker_id] ELSE [] END)), ',') AS aliases
 FROM u LEFT JOIN h USING (book_id, speaker_id)""")
 def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -37,15 +38,26 @@ def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("CUSTOMER#"), F.lpad((key - key % 2).cast("string"), 9, "0"))
     aliases = F.array(F.concat(F.lit("Nick"), key), F.lit("They"), F.concat(F.lower("c_mktsegment"), (key - 6).cast("string")))
     new = c.where(key % 3 == 0).select(F.col("c_nationkey").alias("book_id"), F.concat(F.lit("u"), key).alias("speaker_id"), name.alias("name"), aliases.alias("aliases"))
-    return registry.link_aliases(known, new).select("book_id", "speaker_id", "canonical", "owners")
+    return registry.link_aliases(known, new).select("book_id", "speaker_id", "canonical", "owners", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT c_nationkey AS book_id, c_custkey AS nth, 'c' || c_custkey AS sid, 'Name ' || (c_custkey // 40) AS name, c_name AS alias FROM customer),
+o AS (SELECT *, first_value(sid) OVER (PARTITION BY book_id, name ORDER BY nth) AS own FROM c),
+a AS (SELECT book_id, own, alias AS x FROM o UNION SELECT book_id, own, unnest([sid, name]) FROM o WHERE sid <> own),
+l AS (SELECT book_id, own, string_agg(x, ',' ORDER BY x) AS aliases FROM a GROUP BY ALL)
+SELECT book_id, own AS speaker_id, min(name) AS name, min(aliases) AS aliases, CASE WHEN bool_or(nth % 2 = 0) THEN 'female' ELSE 'unknown' END AS gender, count(*)::INTEGER AS n_items
+FROM o JOIN l USING (book_id, own) GROUP BY book_id, own
+UNION ALL SELECT DISTINCT book_id, 'narrator', 'Narrator', '', 'unknown', 0 FROM c""")
 def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every nation's customers as one book's updates, each under its own name and the segment's as alias of the first."""
+    """Every nation's customers as one book's updates; those of one name are one character, who has been found under all their ids."""
     c = V.table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
     item = F.struct(F.concat(F.lit("c"), F.col("c_custkey")).alias("speaker_id"), F.concat(F.lit("Name "), F.floor(F.col("c_custkey") / 40)).alias("name"), F.array("c_name", F.lit("he")).alias("aliases"), F.when(F.col("c_custkey") % 2 == 0, "f").otherwise("").alias("gender"))
-    return registry.merge_books(c.select(F.col("c_nationkey").alias("book_id"), F.col("c_custkey").alias("nth"), item.alias("item")))
+    made = registry.merge_books(c.select(F.col("c_nationkey").alias("book_id"), F.col("c_custkey").alias("nth"), item.alias("item")))
+    entry = "map<string, struct<name: string, aliases: array<string>, gender: string>>"
+    people = made.select("book_id", "renamed", F.explode(F.from_json("characters", entry)).alias("speaker_id", "p"))
+    items = F.size(F.filter(F.map_values("renamed"), lambda x: x == F.col("speaker_id")))
+    return people.select("book_id", "speaker_id", "p.name", F.array_join("p.aliases", ",").alias("aliases"), "p.gender", items.alias("n_items"))
 
 
 @query(r"""
@@ -110,10 +122,14 @@ def casting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voices.cast(speakers(spark, sf_dir), V.voices(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH {V.VOICES_SQL}, s AS (SELECT DISTINCT conv_id AS book_id, role AS speaker_id FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY speaker_id <> 'narrator', speaker_id) AS nth, count(*) OVER (PARTITION BY book_id) AS n FROM s),
+v AS (SELECT voice_id, row_number() OVER (ORDER BY voice_id <> 'v000000000', voice_id) AS nth FROM voices)
+SELECT book_id, speaker_id, voice_id, (n - 1)::INTEGER AS n_unmatched FROM r JOIN v USING (nth)""")
 def casting_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Casting where female voices are scarce: the library is its male and unknown voices and one female."""
-    library = V.voices(spark, sf_dir).where("gender <> 'female' or voice_id = 'v000000000'")
+    """Casting where female voices are scarce: every speaker asks for one, and all but one voice of the library are of other or unknown gender."""
+    library = V.voices(spark, sf_dir).withColumn("gender", F.when(F.col("voice_id") == "v000000000", "female").when(F.col("gender") == "female", "unknown").otherwise(F.col("gender")))
     made = voices.cast_greedy(speakers(spark, sf_dir).withColumn("gender", F.lit("female")), library)
     return made.select("book_id", F.explode("casting").alias("speaker_id", "voice_id"), F.size("unmatched").alias("n_unmatched"))
 

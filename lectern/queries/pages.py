@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import layout
 from lectern.plans import pdf_text
+from lectern.queries import texts as T
 from lectern.queries import views as V
 
 QUERIES, SQL = {}, {}
@@ -74,26 +75,15 @@ def image_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), ' ')[1:12] AS w FROM documents),
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents),
 s AS (SELECT doc_id, unnest([left(w[1], 1), substr(w[1], 2)] || w[2:]) AS t, generate_subscripts([left(w[1], 1), substr(w[1], 2)] || w[2:], 1) - 1 AS k FROM d),
 x AS (SELECT doc_id, k, CASE WHEN k % 4 = 3 THEN ' ' || t ELSE t END AS t, CASE WHEN k = 0 THEN 24.0 ELSE 14.0 END AS size, CASE WHEN k % 3 = 0 THEN 0.5 ELSE 5.0 END AS gap FROM s),
 l AS (SELECT *, lag(t) OVER w AS p, lag(size) OVER w AS ps, lag(gap) OVER w AS g FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
 j AS (SELECT doc_id, k, CASE WHEN k = 0 THEN t WHEN regexp_full_match(trim(p), '\p{L}{1,2}') AND regexp_matches(ltrim(t), '^\p{Ll}') AND ps > size * 1.1 THEN ltrim(t) WHEN ends_with(p, ' ') OR starts_with(t, ' ') OR g < 1 THEN t ELSE ' ' || t END AS t FROM l)
 SELECT doc_id, string_agg(t, '' ORDER BY k) AS text FROM j GROUP BY doc_id""")
 def span_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of documents as spans of a line, the first letter large and on its own."""
-    return _joined(spark, sf_dir, lambda words: F.slice(words, 1, 12))
-
-
-@query(SQL["span_join"].replace("[1:12]", ""))
-def span_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of documents as spans of a line, the first letter large and on its own."""
-    return _joined(spark, sf_dir, lambda words: words)
-
-
-def _joined(spark: SparkSession, sf_dir: str, held) -> DataFrame:
-    """The line's text from the spans of those words of each document that ``held`` gives."""
-    words = held(F.split(F.coalesce("text", F.lit("")), " "))
+    words = F.split(F.coalesce("text", F.lit("")), " ")
     texts = F.concat(F.array(F.left(words[0], F.lit(1)), F.substring(words[0], 2, 1 << 30)), F.slice(words, 2, 1 << 30))
 
     def span(t, k):
@@ -116,7 +106,26 @@ def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.page_parts(V.layout_pages(spark, sf_dir)).select("doc_id", "state")
 
 
-@query()
+#: The segments of kept pages, fifty pages a book, under the names that the SQL on lines of books uses.
+PAGES_SQL = rf"""{KIND_SQL},
+hb AS (SELECT doc_id, nth, kind, text FROM k WHERE kind IN ('heading', 'body')),
+mh AS (SELECT *, kind = 'heading' AND regexp_full_match(text, '\d+') AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY nth) = 'heading', false) AS merges FROM hb),
+mg AS (SELECT *, sum(CASE WHEN merges THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY nth) AS seg FROM mh),
+sg AS (SELECT doc_id AS page_id, seg, min(kind) AS kind, string_agg(text, ' ' ORDER BY nth) AS text FROM mg GROUP BY doc_id, seg),
+sa AS (SELECT page_id, count(*) AS n, sum(length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))) AS letters FROM sg GROUP BY page_id),
+sb AS (SELECT doc_id AS page_id, count(*) AS blocks FROM blocks GROUP BY doc_id),
+st AS (
+  SELECT page_id, CASE WHEN coalesce(letters, 0) < 25 AND page_id % 4 = 0 AND coalesce(blocks, 0) > 0 AND (page_id % 500 * 400 >= 120000 OR n IS NULL) THEN 'skipped' WHEN n IS NULL THEN 'empty' ELSE 'kept' END AS state
+  FROM pages LEFT JOIN sa USING (page_id) LEFT JOIN sb USING (page_id)),
+lines AS (SELECT page_id // 50 AS doc_id, page_id % 50 + 1 AS page, (page_id % 50 + 1) * 1000000 + seg AS pos, kind, text FROM sg JOIN st USING (page_id) WHERE state = 'kept')"""
+
+
+@query(rf"""
+WITH {T.PARAS_SQL.replace(V.LINES_SQL, PAGES_SQL)},
+body AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY para) || chr(10) AS text FROM paras GROUP BY doc_id),
+rep AS (SELECT page_id // 50 AS doc_id, count(*) AS n, string_agg(concat(page_id % 50 + 1, ' (1 image)'), ', ' ORDER BY page_id % 50) FILTER (state = 'skipped') AS skipped FROM st GROUP BY ALL)
+SELECT doc_id, concat('# source: ', doc_id, chr(10), '# pages: ', n, chr(10), '# skipped_image_pages: ', coalesce(skipped, 'none'), chr(10), '# ocr_pages: none', chr(10), '# tts: skip lines starting with #', chr(10), chr(10), body.text) AS text
+FROM body JOIN rep USING (doc_id)""")
 def convert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan from page layouts to texts: fifty web pages are the pages of one book."""
     pages = V.layout_pages(spark, sf_dir).withColumn("page", (F.col("doc_id") % 50 + 1).cast("int")).withColumn("doc_id", F.floor(F.col("doc_id") / 50))

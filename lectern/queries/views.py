@@ -100,3 +100,26 @@ def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``voice_id, speaker_id, gender, sha256``: suppliers as a voice library."""
     gender = F.when(F.col("s_suppkey") % 3 == 0, "female").when(F.col("s_suppkey") % 3 == 1, "male").otherwise("unknown")
     return table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey").select(F.concat(F.lit("v"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("voice_id"), F.col("s_nationkey").cast("string").alias("speaker_id"), gender.alias("gender"), F.sha2("s_name", 256).alias("sha256"))
+
+
+def pieces_sql(source: str, keys: str, limits: tuple[int, ...] = (300,)) -> str:
+    """Views ``cut(keys, lim, n, piece, rest)`` and ``unbroken(keys)`` of a view ``source(keys, lim, text)``.
+
+    Pieces one after the other: all that is left if it fits; else up to the last mark, with a quote or
+    without, from a third of the limit on that white space follows; else up to the last white space.
+    """
+
+    def longest(lim: int) -> str:
+        mark = rf"regexp_extract(left(rest, {lim + 1}), '(?s)^(.{{{{{lim // 3},{lim - 1}}}}}[.!?;:,])\s', 1)".replace("{{", "{").replace("}}", "}")
+        quote = rf"regexp_extract(left(rest, {lim + 1}), '(?s)^(.{{{{{lim // 3},{lim - 2}}}}}[.!?;:,][”\"''])\s', 1)".replace("{{", "{").replace("}}", "}").replace('\\"', '"')
+        space = rf"regexp_extract(left(rest, {lim + 1}), '(?s)^(.{{{{0,{lim - 1}}}}}\S)\s', 1)".replace("{{", "{").replace("}}", "}")
+        return f"CASE WHEN length({mark}) >= length({quote}) AND {mark} <> '' THEN {mark} WHEN {quote} <> '' THEN {quote} ELSE {space} END"
+
+    which = " ".join(f"WHEN lim = {x} THEN {longest(x)}" for x in limits)
+    return rf"""
+cut({keys}, lim, n, piece, rest) AS (
+  SELECT {keys}, lim, -1, '', regexp_replace(text, '^\s+|\s+$', '', 'g') FROM {source} WHERE text IS NOT NULL
+  UNION ALL
+  SELECT {keys}, lim, n + 1, p, regexp_replace(substr(rest, length(p) + 1), '^\s+', '')
+  FROM (SELECT *, CASE WHEN length(rest) <= lim THEN rest ELSE CASE {which} END END AS p FROM cut WHERE rest <> '') WHERE p <> ''),
+unbroken AS (SELECT {keys} FROM cut GROUP BY ALL HAVING min(length(rest)) > 0)"""

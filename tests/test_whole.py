@@ -3,13 +3,15 @@
 import random
 from collections import Counter
 
+from speech import speech
+
 from lectern.queries import audio, cast, pages, texts, views
 
 
 def test_span_join_reads_whole_documents(spark, tmp_path):
     texts = [None, "", "x", "Once upon a time", " ".join(f"word{i}" for i in range(500)), "A long  line\nof two " * 40]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.text for r in pages.span_join_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text for r in pages.span_join(spark, str(tmp_path)).collect()}
     for i, text in enumerate(texts):
         words = (text or "").split(" ")
         spans, out = [words[0][:1], words[0][1:], *words[1:]], ""
@@ -21,33 +23,6 @@ def test_span_join_reads_whole_documents(spark, tmp_path):
         assert got[i] == out and "".join(out.split(" ")) == "".join(words)
 
 
-def speech_by_definition(text):
-    """Character by character: where speech starts and ends."""
-    out, start, close = [], None, ""
-    for i, c in enumerate(text):
-        before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "
-        opens = c == "“" or (c == '"' and (before.isspace() or before in "([{—–-") and not after.isspace())
-        if c == "\n":
-            if start is not None and text[i + 1 :].lstrip(" \t").startswith("\n"):
-                out.append((start, i))
-                start = None
-            continue
-        if c not in "\"'“”‘’":
-            continue
-        if start is not None:
-            if opens and (close == '"' or (close, c) == ("”", "“")):
-                out.append((start, i))
-                start = None
-            elif c == close:
-                if close not in "'’" or not after.isalnum():
-                    out.append((start, i + 1))
-                    start = None
-                continue
-        if start is None and (opens or c == "‘" or (c == "'" and not before.isalnum())):
-            start, close = i, {"“": "”", "‘": "’"}.get(c, c)
-    return out
-
-
 def marked(text):
     return "\n".join("“" + x if i % 5 == 1 else x + "”" if i % 5 == 2 else x for i, x in enumerate(text.split("\n")))
 
@@ -58,7 +33,7 @@ def test_quotes_in_whole_texts(spark, tmp_path):
     docs = [None, "", far, "“never closed\n \t\nnext “one” ‘two’ isn't 'three'"] + ["".join(rng.choices(["“", "”", "‘", "’", '"', "'", " ", "\n", "\n\n", "ab", "é😀", "-"], k=200)) for _ in range(60)]
     spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id, r.start, r.end) for r in texts.quote_whole(spark, str(tmp_path)).collect())
-    assert got == sorted((i, a, b) for i, t in enumerate(docs) if t is not None for a, b in speech_by_definition(marked(t)))
+    assert got == sorted((i, a, b) for i, t in enumerate(docs) if t is not None for a, b in speech(marked(t)))
     assert (2, 301, marked(far).index("“", 302)) in got and (3, 0, 14) in got
 
 
@@ -68,5 +43,5 @@ def test_faults_of_the_whole_casting(spark, sf):
     for r in cast.casting(spark, sf).collect():
         rows += [(r.book_id, "x" * (r.book_id % 5 == 0) + r.voice_id)] * (1 + (r.book_id % 7 == 0))
     expected = [(b, v, "unknown voice") for b, v in rows if v not in known] + [(b, v, "cast twice") for (b, v), n in Counter(rows).items() if n > 1]
-    got = [(r.book_id, r.voice_id, r.reason) for r in audio.casting_faults_whole(spark, sf).collect()]
+    got = [(r.book_id, r.voice_id, r.reason) for r in audio.casting_faults(spark, sf).collect()]
     assert sorted(got) == sorted(expected) and {r for _, _, r in got} == {"unknown voice", "cast twice"}
