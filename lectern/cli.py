@@ -11,6 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators import hyphens
 from lectern.operators import voices as V
 from lectern.plans import annotators, audio, library, pdf_text, scripts
 from lectern.sources import files, sinks
@@ -30,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     annotation = {"chunk_chars": 0, "segment_chars": 300, "engine": None, "annotator": "chat", "prompt": None, "sheet_prompt": None}
-    command("text", "pages", "out", keep_page_breaks=False, plain=False)
+    command("text", "pages", "out", keep_page_breaks=False, plain=False, frequencies=None, words=None)
     command("script", "texts", "book", **annotation)
     command("voices-build", "rows", "library", count=20, max_rows=10_000, labels=None)
     command("voices-list", "library")
@@ -67,7 +68,8 @@ def _characters(book: DataFrame) -> DataFrame:
 
 
 def text(spark: SparkSession, a) -> None:
-    made = pdf_text.convert(files.layout_pages(spark, a.pages), keep_page_breaks=a.keep_page_breaks, plain=a.plain)
+    lexicon = hyphens.held_lexicon(files.lexicon(spark, a.frequencies, a.words)) if a.frequencies or a.words else None
+    made = pdf_text.convert(files.layout_pages(spark, a.pages), lexicon, keep_page_breaks=a.keep_page_breaks, plain=a.plain)
     sinks.write_texts(made.texts, a.out).collect()
     audio.refuse(made.failed, "no text left")
 

@@ -56,6 +56,20 @@ def speaker_labels(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode("m").alias("speaker_id", "label")).select("speaker_id", T.gender(F.col("label")).alias("gender"))
 
 
+def lexicon(spark: SparkSession, frequencies: str | None = None, words: str | None = None) -> DataFrame:
+    """``word, zipf, listed`` from files: lines of a word, a tab and its Zipf frequency, and lines of a word alone; all in lower case.
+
+    A word of either file has one row; without a frequency its ``zipf`` is null. Without files there are no rows.
+    """
+    rows = spark.createDataFrame([], "word string, zipf double, listed boolean")
+    if frequencies:
+        cells = F.split(F.lower("value"), "\t")
+        rows = rows.union(spark.read.text(frequencies).select(T.strip(cells[0]), F.try_element_at(cells, F.lit(2)).try_cast("double"), F.lit(False)))
+    if words:
+        rows = rows.union(spark.read.text(words).select(T.strip(F.lower("value")), F.lit(None).cast("double"), F.lit(True)))
+    return rows.where("word <> ''").groupBy("word").agg(F.max("zipf").alias("zipf"), F.bool_or("listed").alias("listed"))
+
+
 def listing(spark: SparkSession, path: str, hashed: bool = False) -> DataFrame:
     """``path, size`` of all files below a folder, and ``sha256`` if asked; without it no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import hyphens, layout
 from lectern.plans import pdf_text
+from lectern.sources import files
 from lectern.sources.files import PAGES
 
 W, H = 595.0, 842.0
@@ -120,3 +121,14 @@ def test_modal_size_and_kinds(spark):
     rows = {r.doc_id: r for r in layout.classified(df).collect()}
     assert rows["b"].body_size == 12.0 and [p.kind for p in rows["b"].parts] == ["body", "body", "heading", "sidenote", None, "heading"]
     assert rows["n"].parts == [] and rows["e"].parts == [] and rows["e"].body_size == 12.0
+
+
+def test_lexicon_from_files(spark, tmp_path):
+    (tmp_path / "f.tsv").write_text("Gathered\t4.2\nodd\tx\n\nrare\t1.5\n")
+    (tmp_path / "w.txt").write_text("Rare\nmoor\n \n")
+    got = {r.word: (r.zipf, r.listed) for r in files.lexicon(spark, str(tmp_path / "f.tsv"), str(tmp_path / "w.txt")).collect()}
+    assert got == {"gathered": (4.2, False), "odd": (None, False), "rare": (1.5, True), "moor": (None, True)}
+    assert files.lexicon(spark).count() == 0
+    lines = spark.createDataFrame([("a gath-", "ered moor")], "a string, b string")
+    held = hyphens.held_lexicon(files.lexicon(spark, str(tmp_path / "f.tsv")))
+    assert hyphens.joined(lines, F.array(F.array("a", "b")), "t", held).first().t == ["a gathered moor"]
