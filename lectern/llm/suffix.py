@@ -46,8 +46,8 @@ from . import common
 SPAN, GRAM, TILE = 100, 32, 512
 #: Windows of text hashed together, windows sorted together, and stretches whose copies are looked for together.
 BLOCK, WINDOWS, TOGETHER = 1 << 19, 1 << 18, 1 << 19
-#: Bytes of a run that are compared at once, of a part of a text, and of what is cut out at a time.
-RUN, PART, CUT = 4096, 1 << 20, 1 << 24
+#: Bytes of a run that are compared at once, and of a part of a text.
+RUN, PART = 4096, 1 << 20
 #: Documents in the sample for hot anchors, different stretches there that make an anchor hot, and parts that a hot run's bytes are dealt into.
 SAMPLE, HOT, SALT = 4096, 16, 256
 BASE = 0x9E3779B97F4A7C15
@@ -488,33 +488,6 @@ def _across(batches):
 #: What is asked of a text and where it goes. ``n`` below 0: a stretch for tile ``b`` of anchor ``a``; else ``n`` bytes
 #: that are to be, or (``off`` -1) are, those of document ``a`` at ``b``, in the part ``salt`` of all that should be.
 ASK = ("a", "b", "n", "salt", "off", "more", "many", "p")
-CUTS = "a long, b long, n int, salt int, off int, more int, many boolean, p long, doc long, text binary"
-
-
-def _cut_out(batches):
-    """The bytes asked of each part of a document, beside what was asked; those that the document doesn't have are left out."""
-    for b in batches:
-        base, text, asked = b.column(1), b.column(2), b.column(3)
-        flat = asked.flatten()
-        counts = np.asarray(asked.value_lengths().fill_null(0))
-        row = np.repeat(np.arange(len(counts)), counts)
-        fields = [flat.field(i) for i in range(len(ASK))]
-        place = np.asarray(fields[-1]) - np.asarray(base)[row] if len(row) else row
-        size = np.maximum(np.asarray(fields[2]), np.asarray(fields[5]) + SPAN) if len(row) else row
-        ends = np.searchsorted(np.cumsum(size), np.arange(CUT, int(size.sum()) + CUT, CUT), "right") if len(row) else []
-        at = 0
-        for end in [*dict.fromkeys(x for x in np.asarray(ends).tolist() if x > 0), len(row)]:
-            own = slice(at, end)
-            raw, last, data = [], -1, b""
-            for r, s, m in zip(row[own].tolist(), place[own].tolist(), size[own].tolist(), strict=True):
-                if r != last:
-                    last, data = r, memoryview(text[r].as_buffer()) if text[r].is_valid else b""
-                raw.append(bytes(data[s : s + m]))
-            if raw:
-                whole = np.fromiter(map(len, raw), np.int64, len(raw)) == size[own]
-                doc = b.column(0).take(pa.array(row[own]))
-                yield pa.RecordBatch.from_arrays([*[f[own] for f in fields], doc, pa.array(raw, pa.binary())], [*ASK, "doc", "text"]).filter(pa.array(whole))
-            at = end
 
 
 def _compared(texts: DataFrame, apart: DataFrame, runs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -527,13 +500,15 @@ def _compared(texts: DataFrame, apart: DataFrame, runs: DataFrame | None) -> tup
         asks = asks.union(salted.select("doc", part(), F.col("hdoc").alias("a"), F.col("hp").alias("b"), "n", "salt", zero.alias("off"), "more", no.alias("many"), "p"))
         heads = salted.select("hdoc", "hp", "n", "more", "salt").distinct().select(F.col("hdoc").alias("doc"), F.col("hp").alias("p"), "n", "more", "salt")
         asks = asks.union(heads.select("doc", part(), F.col("doc").alias("a"), F.col("p").alias("b"), "n", "salt", F.lit(-1).alias("off"), "more", no.alias("many"), "p"))
-    asked = asks.groupBy("doc", "part").agg(F.collect_list(F.struct(*ASK)).alias("asked"))
     size = F.octet_length("text")
     # a part goes on for as many bytes as the longest ask has
     parts = texts.where("text is not null and doc_id is not null").select("doc_id", "text", F.explode(F.sequence(zero, F.floor(F.greatest(size - 1, zero) / PART).cast("int"))).alias("k"))
-    pieces = parts.select("doc_id", F.col("k").cast("long").alias("k"), (F.col("k").cast("long") * PART).alias("base"), F.substring("text", F.col("k") * PART + 1, F.lit(PART + RUN)).alias("text"))
-    held = pieces.join(asked, (F.col("doc_id") == F.col("doc")) & (F.col("k") == F.col("part"))).select("doc_id", "base", "text", "asked")
-    cut = held.mapInArrow(_cut_out, CUTS)
+    pieces = parts.select("doc_id", F.col("k").cast("long").alias("k"), F.substring("text", F.col("k") * PART + 1, F.lit(PART + RUN)).alias("text"))
+    # asks are the side that streams past a part: what many documents ask of one is never gathered, and its rows can be split
+    held = asks.join(pieces, (F.col("doc") == F.col("doc_id")) & (F.col("part") == F.col("k")))
+    asked = F.greatest(F.col("n"), F.col("more") + SPAN)
+    cut = held.select(*ASK, "doc", asked.alias("size"), F.substring("text", (F.col("p") - F.col("part") * PART + 1).cast("int"), asked).alias("text"))
+    cut = cut.where(F.octet_length("text") == F.col("size")).drop("size")  # what the document doesn't have is left out
     key = ("a", "b", "n", "salt")
     found, _ = common.cut(cut.repartition(*key).sortWithinPartitions(*key, "off", "doc", "p").mapInArrow(_compare, COMPARED), "compared")
     across = found.where("w is not null").select("w", "doc", "p").repartition("w").sortWithinPartitions("w", "doc", "p").mapInArrow(_across, "doc long, p long, more int")
