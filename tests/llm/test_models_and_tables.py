@@ -355,6 +355,39 @@ def test_mix_edges(spark, tmp_path):
     assert sorted(map(str, out)) == sorted(map(str, mixing.op8_mixing(spark, str(tmp_path)).collect()))
 
 
+# --- odd tables
+
+
+@pytest.mark.parametrize("name", ["op1_suffix", "op2_secrets", "op3_langid", "op7_toxicity", "op8_mixing", "op9_bpe", "op10_simhash"])
+def test_documents_with_nulls_repeats_and_clashing_columns(spark, tmp_path, name):
+    """One row out for each row in, whatever other columns are called; the same from the bare table; none from an empty one."""
+    rows = [(i % 9, f"text {i % 4} of some words and more " * (i % 3), ["en", "fr", None][i % 3], ["a", None][i % 2]) for i in range(40)] + [(None, None, None, None), (None, "x y z", "en", "a"), (50, None, "fr", "b"), (51, "", None, "b")]
+    kind = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame(rows, kind)
+    clash = docs.select("*", *[F.lit(7).alias(c) for c in ("size", "h", "p", "score", "held_out", "fp", "spans", "doc", "found", "ids", "n", "component_id", "target")])
+    labels = spark.createDataFrame([(i, i % 2, 3) for i in range(9)] + [(None, 1, 3), (3, None, 3)], "doc_id long, toxic int, score int")
+    found = {}
+    for folder, df in (("bare", docs), ("clash", clash), ("empty", clash.limit(0))):
+        df.write.parquet(str(tmp_path / folder / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / folder / "labels.parquet"))
+        found[folder] = sorted(map(str, queries.QUERIES[name](spark, str(tmp_path / folder)).collect()))
+    assert found["bare"] == found["clash"] and len(found["bare"]) == len(rows) and found["empty"] == []
+
+
+@pytest.mark.parametrize("name", ["op4_embeddings", "op5_warc", "op6_topk"])
+def test_other_tables_with_nulls_repeats_and_clashing_columns(spark, tmp_path, name):
+    vectors = spark.createDataFrame([(i % 5 * 100, [1.0, float(i % 4)], i % 2) for i in range(24)] + [(None, [1.0, 2.0], 1), (7, None, 1), (8, [2.0, 1.0], None)], "vec_id long, embedding array<float>, label int")
+    pages = spark.createDataFrame([(i % 6, f"http://h{i % 3}.example/", "<p>same</p>" * (i % 2)) for i in range(20)] + [(None, None, None), (9, "", "x")], "page_id long, url string, html string")
+    found = {}
+    for folder, more in (("bare", False), ("clash", True), ("empty", True)):
+        for table, df in (("embeddings", vectors), ("pages", pages)):
+            df = df.select("*", *[F.lit(7).alias(c) for c in ("key", "file", "start", "n", "m", "fs", "rep", "c", "sub", "kind", "vector", "digest", "first")]) if more else df
+            (df.limit(0) if folder == "empty" else df).write.parquet(str(tmp_path / folder / f"{table}.parquet"))
+        found[folder] = sorted(map(str, queries.QUERIES[name](spark, str(tmp_path / folder)).collect()))
+    assert found["bare"] == found["clash"] and found["bare"] and found["empty"] == []
+    assert name == "op6_topk" or len(found["bare"]) == (vectors if name == "op4_embeddings" else pages).count()
+
+
 # --- all with SQL
 
 
