@@ -16,6 +16,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ TRIMMED = "Delivery trimmed to vocal performance"
 CLOSING = {"“": "”", "‘": "’", '"': '"', "'": "'"}
 OPENERS_BEFORE = "([{—–-"
 EVENTS = re.compile(r"[\"'“”‘’]|\n[ \t]*\n")
+LETTER = re.compile(r"[^\W_]")  # or digit
 HEADING = re.compile(T.SCRIPT_HEADING.removeprefix("(?iU)^"), re.IGNORECASE)
 
 
@@ -91,9 +93,16 @@ class Source:
         self.spans = quote_spans(text) if spans is None else spans
         self.starts = [a for a, _ in self.spans]
 
-    def quoted(self, at: int) -> bool:
-        i = bisect.bisect_right(self.starts, at) - 1
-        return i >= 0 and at < self.spans[i][1]
+    def narrated(self, start: int, end: int):
+        """The stretches of a range of the text that are no speech."""
+        for a, b in self.spans[max(0, bisect.bisect_right(self.starts, start) - 1) :]:
+            if a >= end:
+                break
+            if a > start:
+                yield start, a
+            start = max(start, b)
+        if start < end:
+            yield start, end
 
     def touches_speech(self, start: int, end: int) -> bool:
         i = bisect.bisect_left(self.starts, end) - 1
@@ -113,9 +122,16 @@ class Source:
 
     def runs(self, first: int, last: int) -> list[tuple[int, int, bool]]:
         """Stretches of speech and of narration within a range of the comparison form."""
-        marks = [self.quoted(p) for p in self.places[first:last]]
-        cuts = [0, *[i for i in range(1, len(marks)) if marks[i] != marks[i - 1]], len(marks)]
-        return [(first + a, first + b, marks[a]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        out, (start, end) = [], self.bounds(first, last)
+        place = lambda at: bisect.bisect_left(self.places, at, first, last)
+        for a, b in self.narrated(start, end):
+            x, y = place(a), place(b)
+            if x < y:
+                if first < x:
+                    out.append((first, x, True))
+                out.append((x, y, False))
+                first = y
+        return [*out, (first, last, True)] if first < last else out
 
 
 def fold(text: str) -> str:
@@ -158,7 +174,7 @@ class Aligner:
         first, (a, b) = self.cursor, self.source.bounds(self.cursor, last)
         text = self.source.text[a:b]
         self.cursor = last
-        if speaker != "narrator" and any(c.isalnum() and not self.source.quoted(a + i) for i, c in enumerate(text)):
+        if speaker != "narrator" and any(LETTER.search(self.source.text, x, y) for x, y in self.source.narrated(a, b)):
             self.warn(text, GLUED)
             for x, y, speech in self.source.runs(first, last):
                 self.row(x, y, *((speaker, direction, reaction, self.told) if speech else ("narrator", NARRATION, "")))
@@ -228,6 +244,9 @@ def align(text: str, response: dict, characters: dict, spans: list[tuple[int, in
 
 ROWS = "array<struct<speaker_id: string, text: string, direction: string, reaction: string, pause_after_ms: int>>"
 WARNINGS = "array<struct<text: string, reason: string>>"
+_TEXT = pa.string()
+ROWS_KIND = pa.list_(pa.struct([("speaker_id", _TEXT), ("text", _TEXT), ("direction", _TEXT), ("reaction", _TEXT), ("pause_after_ms", pa.int32())]))
+WARNINGS_KIND = pa.list_(pa.struct([("text", _TEXT), ("reason", _TEXT)]))
 
 
 def align_chunks(chunks: DataFrame, characters: dict | None = None) -> DataFrame:
@@ -236,23 +255,28 @@ def align_chunks(chunks: DataFrame, characters: dict | None = None) -> DataFrame
     ``segments``: array of struct(text, speaker_id, direction, reaction, uncertain). Every speaker id in
     them that ``characters`` lacks is taken as a character of its own.
     """
-
-    @F.pandas_udf(f"struct<rows: {ROWS}, warnings: {WARNINGS}, error: string>")
-    def run(text: pd.Series, segments: pd.Series) -> pd.DataFrame:
-        out = []
-        for source, given in zip(text, segments, strict=True):
-            known = dict(characters or {"narrator": {"name": "Narrator", "aliases": []}})
-            given = [dict(s) | {"uncertain": bool(s["uncertain"])} for s in given] if given is not None else []
-            for s in given:
-                known.setdefault(s["speaker_id"], {"name": s["speaker_id"], "aliases": []})
-            try:
-                made = align(source or "", {"characters": [], "segments": given}, known)
-                out.append((made.rows, made.warnings, None))
-            except (FidelityError, RegistryError) as e:
-                out.append(([], [], str(e)))
-        return pd.DataFrame(out, columns=["rows", "warnings", "error"])
-
-    return chunks.withColumn("_a", run("text", "segments")).select(*chunks.columns, "_a.rows", "_a.warnings", "_a.error")
+    names = chunks.columns
+
+    def run(batches):
+        for b in batches:
+            rows, warnings, errors = [], [], []
+            for source, given in zip(b.column(names.index("text")).to_pylist(), b.column(names.index("segments")).to_pylist(), strict=True):
+                known = dict(characters or {"narrator": {"name": "Narrator", "aliases": []}})
+                given = [s | {"uncertain": bool(s["uncertain"])} for s in given or ()]
+                for s in given:
+                    known.setdefault(s["speaker_id"], {"name": s["speaker_id"], "aliases": []})
+                made, error = Aligned(), None
+                try:
+                    made = align(source or "", {"characters": [], "segments": given}, known)
+                except (FidelityError, RegistryError) as e:
+                    error = str(e)
+                rows.append(made.rows)
+                warnings.append(made.warnings)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, ROWS_KIND), pa.array(warnings, WARNINGS_KIND), pa.array(errors, _TEXT)], [*names, "rows", "warnings", "error"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
+    return chunks.mapInArrow(run, f"{schema}, rows {ROWS}, warnings {WARNINGS}, error string")
 
 
 def verbatim(text: Column, segments: Column) -> Column:
