@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.json"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 MASK = (1 << 64) - 1
 #: Remembered pieces of a worker; characters of text encoded at a time; bytes of a piece that joins a common tree.
-CACHE, BLOCK, SHORT = 300_000, 1 << 20, 64
+CACHE, BLOCK, SHORT = 200_000, 1 << 20, 64
 
 
 def byte_letters() -> list[str]:
@@ -235,12 +236,12 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> Da
 
     def run(batches):
         v = vocabulary(path)
-        for b in batches:
+        for b in chain.from_iterable(map(common.slices, batches)):
             ids = v.encode_all([t or "" for t in b.column(1).to_pylist()])
             back = [pa.array(map(v.decode, ids), pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *back], ["doc_id", "ids", "decoded"][: 2 + len(back)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary" + ", decoded string" * decoded)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(run), "doc_id long, ids binary" + ", decoded string" * decoded)
 
 
 def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -249,12 +250,12 @@ def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         v = vocabulary(path)
-        for b in batches:
+        for b in chain.from_iterable(map(common.slices, batches)):
             ids = v.encode_all([t or "" for t in b.column(1).to_pylist()])
             back = [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["doc_id", "ids", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(run), "doc_id long, ids binary, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -263,13 +264,13 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         v = vocabulary(path)
-        for b in batches:
+        for b in chain.from_iterable(map(common.slices, batches)):
             all_ids = v.encode_all([t or "" for t in b.column(1).to_pylist()])
             out = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(v.decode(ids).encode()).hexdigest()) for ids in all_ids]
             n, x, y = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +87,12 @@ def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def small(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A table of the driver's own rows. By way of Arrow, as rows of Python objects would start workers on every executor."""
+    made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())]
+    return spark.createDataFrame(pa.table(made, names=list(columns)))
+
+
 def other(key: str) -> Column:
     """A long key under another expression, for a join of rows with what was grouped by that key.
 
@@ -92,6 +102,29 @@ def other(key: str) -> Column:
     return F.bitwise_not(F.col(key))
 
 
+def released(run):
+    """``run`` of a task's batches, after which the worker, which waits for other tasks, gives back what it holds no more."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 22):
+    """A batch in parts whose texts have about ``most`` bytes, a row at least, so that what a worker makes of them at once is bounded."""
+    if batch.num_rows:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` of longs: ``node, component`` (its smallest node).
 

@@ -16,6 +16,8 @@ rows give repeated rows.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -185,11 +187,11 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        for b in batches:
+        for b in chain.from_iterable(map(common.slices, batches)):
             labels, scores = shared.value.label(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(run), "doc_id long, lang_pred string, score double")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,7 +148,8 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share=SHARE, repeats: int = REPEATS)
     for (p, _), f in flow.items():
         given[p] = given.get(p, 0) + f
     cuts = [(r.p, given[r.p] // r.size if r.size else 1, given[r.p] % r.size if r.size else 0) for r in rows]
-    at = spark.createDataFrame([(p, b, n, 0) for p, b, n in cuts], "p string, base long, num long, cut long")
+    kinds = {"p": pa.string(), "base": pa.int64(), "num": pa.int64(), "cut": pa.int64()}
+    at = common.small(spark, [(p, b, n, 0) for p, b, n in cuts], **kinds)
     for shift in (20, 10, 0):
         own = sizes.join(F.broadcast(at.select("p", "num", "cut")), "p").where((F.shiftright("h", shift + 10) == F.col("cut")) & (F.col("num") > 0))
         buckets = own.groupBy("p", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("z"))
@@ -163,8 +165,9 @@ def plan(sizes: DataFrame, weights=WEIGHTS, share=SHARE, repeats: int = REPEATS)
                     break
                 left -= z
             after.append((r.p, r.base, left, cut, den))
-        at = spark.createDataFrame([x[:4] for x in after], "p string, base long, num long, cut long")
-    return spark.createDataFrame(after, "p string, base long, num long, cut long, den long"), spark.createDataFrame([(s, held[s], t) for s, t in target.items()], "source string, source_size long, target double")
+        at = common.small(spark, [x[:4] for x in after], **kinds)
+    targets = common.small(spark, [(s, held[s], t) for s, t in target.items()], source=pa.string(), source_size=pa.int64(), target=pa.float64())
+    return common.small(spark, after, **kinds, den=pa.int64()), targets
 
 
 def _at_cut(buckets: DataFrame, at: DataFrame) -> DataFrame:

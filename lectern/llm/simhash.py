@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(run), "doc_id long, fp long")
 
 
 def masks(blocks: int = BLOCKS, bits: int = MAX_BITS) -> list[int]:

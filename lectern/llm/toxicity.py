@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(run), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -132,7 +132,7 @@ def reject(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([m.score(t.as_py()) < least for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.released(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

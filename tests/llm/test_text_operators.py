@@ -366,6 +366,15 @@ def test_tables_between_steps_are_deleted(spark):
     assert not os.path.exists(path.removeprefix("file:"))
 
 
+def test_slices_hold_every_row_once():
+    texts = ["", None, "x" * 50, "é" * 30, "y", "z" * 200, None, "w"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    parts = list(common.slices(batch, most=60))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and len(parts) > 3
+    assert all(p.num_rows == 1 or p.column(1).nbytes for p in parts) and list(common.slices(batch.slice(0, 0))) == []
+    assert [x for p in common.slices(batch.slice(3), most=1) for x in p.column(0).to_pylist()] == [3, 4, 5, 6, 7]
+
+
 def test_hub_of_many_links(spark):
     """A hub whose links are most of all, and a second one tied to it by one link."""
     edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(5001, 6000)] + [(2999, 5500)]
