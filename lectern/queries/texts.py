@@ -214,7 +214,7 @@ _KEYWORDS = "(?:chapter|book|part|prologue|epilogue)"
 @query(rf"""
 WITH RECURSIVE {V.LINES_SQL}, s AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS source FROM lines GROUP BY doc_id),
 step(doc_id, source, n, a, z, heading, text, error) AS (
-  SELECT doc_id, source, -1, 0, 0, false, '', NULL FROM s
+  SELECT doc_id, source, -1, 0, 0, false, '', NULL::VARCHAR FROM s
   UNION ALL
   SELECT doc_id, source, n + 1, z, CASE WHEN h <> '' THEN z + length(h) WHEN e = 0 THEN length(source) WHEN b <> '' THEN z + length(b) ELSE z + e END, h <> '',
          CASE WHEN h <> '' THEN regexp_extract(h, '(?is)^\s*({_KEYWORDS}\b[^\n]{{0,110}})', 1) WHEN e = 0 THEN rest WHEN b <> '' THEN b ELSE left(rest, e) END,
