@@ -110,11 +110,14 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS) -> Da
     Within a bucket a spanning forest stands for all its pairs. A bucket of n fingerprints, all of them
     different, is n (n / ``TILE`` + 1) / 2 rows or fewer in the shuffle: keys of 27 bits hold about N / 2^27
     of N random fingerprints, so past some 10^11 documents the blocks should be fewer and wider.
+
+    Spark takes the keys for as many as the fingerprints, of which each has 35, and the buckets for fewer
+    yet: by its sizes alone it would send millions of rows through the driver. So that join is always sorted.
     """
     cases = F.array(*[F.struct(F.lit(i).cast("long").alias("c"), F.lit(m).alias("m")) for i, m in enumerate(masks(blocks, bits))])
     keyed = distinct.select("fp", F.explode(cases).alias("x")).select(F.col("x.c").alias("c"), F.col("fp").bitwiseAND(F.col("x.m")).alias("k"), "fp")
     many = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", common.other("k").alias("o"), "n")
-    dealt = keyed.withColumn("o", common.other("k")).join(many, ["c", "o"]).withColumn("t", F.ceil(F.col("n") / TILE).cast("long"))
+    dealt = keyed.withColumn("o", common.other("k")).join(many.hint("merge"), ["c", "o"]).withColumn("t", F.ceil(F.col("n") / TILE).cast("long"))
     own = F.pmod(F.xxhash64("fp"), F.col("t"))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("t") - 1), lambda j: F.least(own, j) * F.col("t") + F.greatest(own, j))
     placed = dealt.select("c", "k", F.explode(tiles).alias("p"), "fp")

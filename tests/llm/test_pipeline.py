@@ -32,6 +32,14 @@ def test_one_of_each_group_stays(spark, docs, sf):
     assert kept.columns == COLUMNS and sorted(x for x in got if x is not None) == sorted(set(groups.values()))
 
 
+def test_near_duplicates_send_no_keys_to_the_driver(spark, docs, sf, monkeypatch):
+    made, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: made.append(links(*a)) or made[-1])
+    corpus_pipeline.keep_one_of_near(spark, docs, sf)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in made]
+    assert plans and all("SortMergeJoin" in x and "Broadcast" not in x for x in plans)
+
+
 def test_secrets_are_replaced(spark, docs, sf):
     made = corpus_pipeline.redact_secrets(spark, docs, sf)
     assert made.columns == COLUMNS and made.count() == docs.count() and made.where("n_chars <> length(text)").count() == 0
