@@ -344,6 +344,13 @@ def test_links_of_large_buckets(spark, monkeypatch):
     assert len(set(mine.values())) == len(set(expected.values())) and all((expected[i] == expected[j]) == (components[i] == components[j]) for i in range(0, len(mine), 7) for j in range(0, len(mine), 5))
 
 
+def test_keys_never_pass_through_the_driver(spark):
+    found = simhash.links(spark.range(300).select(F.xxhash64("id").alias("fp")).distinct())
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_ids_and_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], TEXT)).count() == 0
     got = simhash.near_duplicates(spark.createDataFrame([(None, "x y"), (3, "x y"), (3, "x y")], TEXT)).collect()
