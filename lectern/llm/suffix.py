@@ -538,7 +538,8 @@ def removed(docs: DataFrame, windows: int = BLOCK, tile: int = TILE, bits: int =
     scan = lambda: texts.mapInArrow(_scan(np.array(sorted(known), np.int64), windows, bits), ROW_SQL)
     spread = F.when(F.col("kind") == 2, F.xxhash64("ah", "ch")).otherwise(F.col("ah"))
     met, _ = common.cut(scan().repartition(spread).sortWithinPartitions("ah", "ch", "doc", "p").mapInArrow(_meet(known, tile), MET), "met")
-    runs = met.where("hdoc is not null").select("doc", "p", "more", "hdoc", "hp").repartition("doc").sortWithinPartitions("doc", "p").mapInArrow(_follow, RUNS)
+    # written, as runs end where batches do: made twice, what is asked of the repeated text could be cut elsewhere than what it repeats
+    runs, _ = common.cut(met.where("hdoc is not null").select("doc", "p", "more", "hdoc", "hp").repartition("doc").sortWithinPartitions("doc", "p").mapInArrow(_follow, RUNS), "runs")
     found, across = _compared(texts, met.where("tile is not null"), runs)
     out = met.where("tile is null and hdoc is null").select("doc", "p", "more").union(found.where("not bad").select("doc", "p", "more")).union(across)
     if found.where("bad").limit(1).count():  # hashes of different stretches are equal

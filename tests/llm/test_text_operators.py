@@ -107,6 +107,22 @@ def test_memory_of_a_long_text_is_bounded():
     assert peaks[1] < 400 << 20 and peaks[1] - peaks[0] < 6 * (18 << 20)
 
 
+def test_runs_that_end_anywhere_need_no_second_pass(spark, monkeypatch):
+    shared = [words(i, 900) for i in range(6)]
+    docs = [(i, f"{words(100 + i, 20)} {shared[i % 6]} {shared[(i + 1) % 6]}") for i in range(60)]
+    compared, follow, asked = suffix._compared, suffix._follow, []
+
+    def elsewhere(batches):  # batches end elsewhere each time
+        for b in batches:
+            k = random.SystemRandom().randrange(b.num_rows + 1)
+            yield from follow(iter([x for x in (b.slice(0, k), b.slice(k)) if x.num_rows]))
+
+    monkeypatch.setattr(suffix, "_follow", elsewhere)
+    monkeypatch.setattr(suffix, "_compared", lambda texts, apart, runs: asked.append(runs) or compared(texts, apart, runs))
+    got = {r.doc_id: r.n_removed for r in suffix.dedup(spark.createDataFrame(docs, TEXT).repartition(4)).collect()}
+    assert got == {i: x[1] for i, x in removed_by_definition(docs).items()} and len(asked) == 1 and asked[0] is not None
+
+
 def test_suffix_dedup_empty_and_ids(spark):
     assert suffix.dedup(spark.createDataFrame([], TEXT)).count() == 0
     t = words(9, 50)
