@@ -141,7 +141,7 @@ def merge_headings(parts: Column) -> Column:
     return F.aggregate(parts, F.array().cast("array<struct<kind: string, text: string>>"), step)
 
 
-def classified(pages: DataFrame, lexicon: dict | None = None) -> DataFrame:
+def classified(pages: DataFrame, lexicon: dict | DataFrame | None = None) -> DataFrame:
     """``pages`` and ``parts``: its text blocks in reading order as ``kind, text, size, bbox``; ``body_size`` too."""
     blocks = F.coalesce(F.filter("blocks", lambda b: b["type"] == 0), F.array().cast(BLOCKS))
     measured = pages.withColumn("_m", F.transform(blocks, lambda b: F.struct(block_lines(b).alias("lines"), font_size(b).alias("size"), _chars(b).alias("chars"), b["bbox"].alias("bbox"))))
@@ -151,7 +151,7 @@ def classified(pages: DataFrame, lexicon: dict | None = None) -> DataFrame:
     return joined.withColumn("parts", parts).drop("_m", "_o", "_t")
 
 
-def page_parts(pages: DataFrame, lexicon: dict | None = None, ocr=None) -> DataFrame:
+def page_parts(pages: DataFrame, lexicon: dict | DataFrame | None = None, ocr=None) -> DataFrame:
     """Per page: ``segments`` (``kind, text``), ``images``, ``used_ocr`` and ``state``: kept, skipped (an image alone) or empty.
 
     ``ocr``: a column function of the page row that gives its recognised text, asked for only where the

@@ -17,7 +17,7 @@ class Converted(NamedTuple):
     failed: DataFrame  # doc_id of books with nothing left
 
 
-def convert(pages: DataFrame, lexicon: dict | None = None, ocr: Column | None = None, keep_page_breaks: bool = False, plain: bool = False, names: DataFrame | None = None) -> Converted:
+def convert(pages: DataFrame, lexicon: dict | DataFrame | None = None, ocr: Column | None = None, keep_page_breaks: bool = False, plain: bool = False, names: DataFrame | None = None) -> Converted:
     """Texts of whole books from their page layouts (``doc_id, page, width, height, blocks``)."""
     parts = shared.written(layout.page_parts(pages, lexicon, ocr), "pages")  # pages are read, and their layout settled, once
     kept = cleanup.strip_running(layout.segments(parts))

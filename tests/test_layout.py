@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import queries
+from lectern import queries
 from lectern.operators import hyphens, layout
 from lectern.plans import pdf_text
 from lectern.sources import files
@@ -77,6 +79,18 @@ def test_lines_folded_with_and_without_a_lexicon(spark):
     assert hyphens.joined(none, F.col("c"), "t", lexicon).first().t is None
 
 
+def test_lines_folded_with_a_table_of_words(spark, sf, monkeypatch):
+    """A corpus's own words are more than can be sent along."""
+    monkeypatch.setattr(hyphens, "MOST_WORDS", 3)
+    lexicon = spark.createDataFrame([(w, 4.0, False) for w in ("ending", "thebes", "overtime", "overtimes")], "word string, zipf double, listed boolean")
+    rows = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(FOLDS)], "i int, c array<string>")
+    got = hyphens.joined(rows, F.array("c", F.array(F.lit("x"))), "b", lexicon).orderBy("i").collect()
+    assert [tuple(r.b) for r in got] == [(b, "x") for _, _, b in FOLDS]
+    none = spark.createDataFrame([(None,)], "c array<array<string>>")
+    assert hyphens.joined(none, F.col("c"), "t", lexicon).first().t is None
+    assert queries.QUERIES["wrapped_lines"](spark, sf).count()
+
+
 def test_running_headers_and_page_numbers_go(spark):
     pages = [[text(72, 24, 300, 34, "THE EYE OF THE WORLD, A HEADER THAT IS LONGER THAN EIGHTY CHARACTERS TO STAY IN AS A BODY", size=9.0), text(72, 200, 500, 240, f"Body number {'abcd'[i]} is unique and it is long enough for the page."), text(290, 780, 310, 790, str(i + 1), size=9.0)] for i in range(4)]
     got, _ = convert(spark, pages)
