@@ -30,6 +30,10 @@ CLIPS = (
 )
 
 
+#: Bytes of clips that a worker holds before it hands them on, one clip at least.
+MOST_HELD = 1 << 23
+
+
 class InvalidInput(ValueError):
     """Rows that stop a plan; the message lists some."""
 
@@ -65,9 +69,9 @@ def synthesize(script: DataFrame, casting: DataFrame, voices: DataFrame, have: D
     seed = settings.seed
 
     def run(batches):
-        model = None
+        model, names = None, [c.split()[0] for c in CLIPS.split(", ")]
         for b in batches:
-            out = []
+            out, held = [], 0
             for r in b.itertuples(index=False):
                 model = model or make_model()
                 samples, rate = model.generate(r.spoken, r.voice_id, seed + int(r.position), r.direction)
@@ -77,7 +81,11 @@ def synthesize(script: DataFrame, casting: DataFrame, voices: DataFrame, have: D
                 content = wav.encode(np.nan_to_num(x), rate)
                 own = hashlib.sha256(json.dumps(r.dialogue, ensure_ascii=False).encode()).hexdigest()
                 out.append((r.book_id, r.position, r.fingerprint, hashlib.sha256(content).hexdigest(), own, r.speaker_id, r.voice_id, r.reference_sha256, rate, len(x), fine, content))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CLIPS.split(", ")])
+                held += len(content)
+                if held >= MOST_HELD:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=names)
 
     work = C.worklist(wanted, have).select("book_id", "position", "fingerprint", "dialogue", "direction", "speaker_id", "voice_id", "reference_sha256", F.coalesce(F.col("prompt") if settings.engine == "dramabox" else F.lit(None), F.col("dialogue")).alias("spoken"))
     # generation is what takes time: lines are dealt evenly, whatever book they are of

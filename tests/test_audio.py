@@ -246,3 +246,18 @@ def test_heard(spark):
     clips = [wav.encode(np.zeros(70_000), 8000), wav.encode(np.append(np.zeros(70_000), 0.5), 8000), b"no wave", None, wav.encode(np.zeros(0), 8000)]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(clips)], "i int, c binary")
     assert [r.v for r in df.select("i", plan.valid("c").alias("v")).orderBy("i").collect()] == [False, True, False, False, False]
+
+
+def test_clips_are_handed_on_by_their_bytes(spark, monkeypatch):
+    """A batch of very many long lines isn't held as sound at once."""
+    seen = []
+    lib = spark.createDataFrame([("v0", "male", "h")], "voice_id string, gender string, sha256 string")
+    rows = script(spark, ("narrator", "Morning.", "x"))
+    cast = spark.createDataFrame([("b", "narrator", "v0")], "book_id string, speaker_id string, voice_id string")
+    frame = type(rows)
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, run, schema: seen.append(run) or self)
+    plan.synthesize(rows, cast, lib, None, annotators.ToneModel, "m", Settings(engine="chatterbox"))
+    line = {"book_id": "b", "fingerprint": "f", "dialogue": "word " * 500, "spoken": "word " * 500, "direction": "", "speaker_id": "narrator", "voice_id": "v0", "reference_sha256": "h"}
+    parts = list(seen[0](iter([plan.pd.DataFrame([line | {"position": i} for i in range(30)])])))
+    assert [p for x in parts for p in x["position"]] == list(range(30))
+    assert max(x["content"].map(len).sum() for x in parts if len(x)) < plan.MOST_HELD + 2 * 600_000 + 44
