@@ -10,8 +10,6 @@ from lectern.functions import audio as A
 from lectern.functions import text as T
 
 VOICE_PREFIX = "libritts_r_"  # a fixed value: the format of voice ids
-#: Voices that general casting holds at once: a library, not a corpus.
-MOST_VOICES = 100_000
 
 
 def label(voices: DataFrame, labels: DataFrame) -> DataFrame:
@@ -91,12 +89,20 @@ def _ranked(speakers: DataFrame) -> DataFrame:
     return speakers.withColumn("wanted", F.when(F.col("gender").isin("female", "male"), F.col("gender")).otherwise("any")).withColumn("nth", F.row_number().over(Window.partitionBy("book_id", "wanted").orderBy(*order)))
 
 
-def held_library(voices: DataFrame) -> list[tuple[str, str]]:
-    """``(voice_id, gender)`` of a library, sorted; more than ``MOST_VOICES`` is an error."""
-    rows = voices.select("voice_id", F.coalesce(T.gender(F.col("gender")), F.lit("unknown"))).limit(MOST_VOICES + 1).collect()
-    if len(rows) > MOST_VOICES:
-        raise ValueError(f"a library of more than {MOST_VOICES} voices")
-    return sorted((r[0], r[1]) for r in rows)
+def held_library(voices: DataFrame, most: int) -> tuple[list[tuple[str, str]], int]:
+    """``(voice_id, gender)``, sorted, of a library's first ``most`` voices of every gender; and how many it has in all.
+
+    A book of ``most`` speakers and earlier choices can take no others: each takes the first that is free,
+    of a gender or of all. So a library of any size is looked at in Spark and never sent as a whole.
+    """
+    own = voices.select("voice_id", F.coalesce(T.gender(F.col("gender")), F.lit("unknown")).alias("gender"))
+    first = own.withColumn("_r", F.row_number().over(Window.partitionBy("gender").orderBy("voice_id"))).where(F.col("_r") <= most)
+    return sorted((r[0], r[1]) for r in first.select("voice_id", "gender").collect()), own.count()
+
+
+def _largest(speakers: DataFrame) -> int:
+    """The rows of the book that has most."""
+    return speakers.groupBy("book_id").count().agg(F.max("count")).first()[0] or 0
 
 
 def cast(speakers: DataFrame, voices: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def cast(speakers: DataFrame, voices: DataFrame) -> DataFrame:
     spark = speakers.sparkSession
     own = _ranked(speakers.select("book_id", "speaker_id", "gender").distinct())
     numbers, rows = {}, []
-    for at, (voice, gender) in enumerate(held_library(voices), 1):
+    for at, (voice, gender) in enumerate(held_library(voices, _largest(own))[0], 1):
         numbers[gender] = numbers.get(gender, 0) + 1
         rows.append((voice, gender, numbers[gender], at))
     library = spark.createDataFrame(rows, "voice_id string, gender string, r int, at int")
@@ -126,38 +132,58 @@ def cast(speakers: DataFrame, voices: DataFrame) -> DataFrame:
     return sure.select("book_id", "speaker_id", "voice_id").union(others.select("book_id", "speaker_id", "voice_id"))
 
 
-def assign(speakers: list[tuple[str, str]], voices: list[tuple[str, str]], fixed: dict[str, str] | None = None) -> tuple[dict[str, str], list[str]]:
+class Shelf:
+    """Voices in order, by gender, for :func:`assign`. ``size``: of the library whose first voices of each gender these are."""
+
+    def __init__(self, voices: list[tuple[str, str]], size: int | None = None):
+        self.gender = dict(voices)
+        self.own: dict[str, list[str]] = {}
+        for voice, gender in voices:
+            self.own.setdefault(gender, []).append(voice)
+        self.size = len(voices) if size is None else size
+
+
+def assign(speakers: list[tuple[str, str]], voices: list[tuple[str, str]] | Shelf, fixed: dict[str, str] | None = None) -> tuple[dict[str, str], list[str]]:
     """Voices of one book's ``(speaker, gender)``, given ``(voice, gender)`` in order and earlier choices; and who got another gender's.
 
     A speaker of known gender takes the first free voice of it, else the first free one. Fewer voices
-    than speakers is a ``ValueError``.
+    than speakers is a ``ValueError``. Of a shelf no more is looked at than is taken.
     """
+    shelf = voices if isinstance(voices, Shelf) else Shelf(voices)
     chosen = dict(fixed or {})
-    spent = set(chosen.values())
-    free: dict[str, list[str]] = {}
-    for voice, gender in reversed(voices):
-        if voice not in spent:
-            free.setdefault(gender, []).append(voice)  # the first comes last
+    spent, at = set(chosen.values()), dict.fromkeys(shelf.own, 0)
     want = sorted({s for s in speakers if s[0] not in chosen}, key=lambda s: (s[1] not in ("female", "male"), s[0] != "narrator", s[0]))
-    if len(want) > sum(map(len, free.values())):
-        raise ValueError(f"{len(want)} additional distinct voices are needed, {sum(map(len, free.values()))} are available")
+    free = shelf.size - sum(v in shelf.gender for v in spent)
+    if len(want) > free:
+        raise ValueError(f"{len(want)} additional distinct voices are needed, {free} are available")
+
+    def first(gender: str) -> str | None:
+        """The first free voice of a gender."""
+        own = shelf.own.get(gender, ())
+        while (i := at.get(gender, 0)) < len(own) and own[i] in spent:
+            at[gender] = i + 1
+        return own[i] if i < len(own) else None
+
     unmatched = []
     for speaker, gender in want:
-        if gender in ("female", "male") and free.get(gender):
-            own = gender
-        else:
-            own = min((g for g in free if free[g]), key=lambda g: free[g][-1])
-            unmatched += [speaker] * (gender in ("female", "male"))
-        chosen[speaker] = free[own].pop()
+        known = gender in ("female", "male")
+        voice, of = first(gender) if known else None, gender
+        if voice is None:
+            voice, of = min((v, g) for g in shelf.own if (v := first(g)) is not None)
+            unmatched += [speaker] * known
+        chosen[speaker] = voice
+        at[of] += 1
     return chosen, unmatched
 
 
 def cast_greedy(speakers: DataFrame, voices: DataFrame, casting: DataFrame | None = None) -> DataFrame:
     """``book_id, casting`` (map) ``, unmatched, error`` for any books, keeping earlier choices.
 
-    A book's speakers meet in one row. The library is sent along; more than ``MOST_VOICES`` is an error.
+    A book's speakers meet in one row. Of the library as many voices of a gender are sent along as the largest book can take.
     """
-    library = held_library(voices)
+    held = speakers.select("book_id", "speaker_id", "gender").distinct()
+    known = held.select("book_id") if casting is None else held.select("book_id").union(casting.select("book_id"))
+    library = Shelf(*held_library(voices, _largest(known)))
     books = speakers.groupBy("book_id").agg(F.collect_set(F.struct("speaker_id", F.coalesce(T.gender(F.col("gender")), F.lit("unknown")).alias("gender"))).alias("s"))
     if casting is None:
         books = books.withColumn("c", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))

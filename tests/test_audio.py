@@ -261,3 +261,17 @@ def test_clips_are_handed_on_by_their_bytes(spark, monkeypatch):
     parts = list(seen[0](iter([plan.pd.DataFrame([line | {"position": i} for i in range(30)])])))
     assert [p for x in parts for p in x["position"]] == list(range(30))
     assert max(x["content"].map(len).sum() for x in parts if len(x)) < plan.MOST_HELD + 2 * 600_000 + 44
+
+
+def test_a_library_of_any_size_is_cast_by_its_first_voices(spark):
+    library = [(f"v{i:04}", ["female", "male", "unknown"][i % 3]) for i in range(400)]
+    lib = spark.createDataFrame(library, "voice_id string, gender string")
+    people = [("a", s, "female") for s in "uvwxyz"] + [("b", "x", "male"), ("b", "y", "unknown"), ("c", "y", "female")]
+    df = spark.createDataFrame(people, "book_id string, speaker_id string, gender string")
+    fixed = [("a", "u", "v0399"), ("a", "gone", "v0003"), ("d", "x", "v0001")]
+    earlier = spark.createDataFrame(fixed, "book_id string, speaker_id string, voice_id string")
+    assert len(voices.held_library(lib, 7)[0]) == 21 and voices.held_library(lib, 7)[1] == 400
+    got = {r.book_id: r.casting for r in voices.cast_greedy(df, lib, earlier.where("book_id = 'a'").union(df.where("false").select("book_id", "speaker_id", "gender"))).collect()}
+    for book in "a":
+        own = {s: v for b, s, v in fixed if b == book}
+        assert got[book] == voices.assign([(s, g) for b, s, g in people if b == book], library, own)[0] == greedy([(s, g) for b, s, g in people if b == book], library, own)
