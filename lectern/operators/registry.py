@@ -11,8 +11,9 @@ from __future__ import annotations
 import copy
 import json
 import re
+from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from lectern.functions import text as T
 PROFILE = ("gender_evidence", "age", "voice", "personality")
 NARRATOR = {"name": "Narrator", "aliases": [], "gender": "unknown"}
 
+#: Characters that a task hands on together.
+MOST_ROWS = 10_000
+
 
 class RegistryError(ValueError):
     """Character data that can't be used."""
@@ -88,27 +92,72 @@ class Registry:
         return own
 
 
+def _walked(updates: DataFrame, made, columns: str, kinds: list[pa.DataType]) -> DataFrame:
+    """``book_id`` and ``columns``, the rows that ``made(registry, renamed, error)`` gives of every book.
+
+    A book's updates come one after the other, so a task holds the characters of one book and not its updates.
+    """
+    rows = updates.select("book_id", "nth", F.to_json("item").alias("item")).repartition("book_id").sortWithinPartitions("book_id", "nth", "item")
+
+    def run(batches):
+        registry, renamed, error, book, began, out = None, {}, None, None, False, []
+
+        def parts(most: int):
+            while len(out) >= most and out:
+                some, out[:] = out[:MOST_ROWS], out[MOST_ROWS:]
+                ids = pa.array([r[0] for r in some], kind)
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[i] for r in some], k) for i, k in enumerate(kinds, 1)]], names)
+
+        for b in batches:
+            kind = b.column(0).type
+            for own, item in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not began or own != book:
+                    if began:
+                        out.extend((book, *r) for r in made(registry, renamed, error))
+                        yield from parts(MOST_ROWS)
+                    registry, renamed, error, book, began = Registry({"narrator": NARRATOR}), {}, None, own, True
+                if error is None:
+                    try:
+                        one = registry.checked(json.loads(item))
+                        renamed[one["speaker_id"]] = registry.one(one)
+                    except RegistryError as e:
+                        error = str(e)
+        if began:
+            out.extend((book, *r) for r in made(registry, renamed, error))
+            yield from parts(0)
+
+    names = ["book_id", *[c.strip().split(" ")[0] for c in columns.split("; ")]]
+    return rows.mapInArrow(run, f"book_id {updates.schema['book_id'].dataType.simpleString()}, {columns.replace('; ', ', ')}")
+
+
 def merge_books(updates: DataFrame) -> DataFrame:
     """``book_id, characters`` (JSON by id) ``, renamed`` (map) ``, error`` from ``updates(book_id, nth, item)``.
 
     ``item``: struct with ``speaker_id, name, aliases`` and, if known, ``gender`` and profile fields. A
-    book's updates meet in one row; they are its cast, not its text.
+    book is one row; see :func:`merge_characters` for casts that are large.
     """
-    books = updates.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("nth", F.to_json("item").alias("item")))).alias("items"))
-
-    @F.pandas_udf("struct<characters: string, renamed: map<string, string>, error: string>")
-    def run(items: pd.Series) -> pd.DataFrame:
-        out = []
-        for own in items:
-            registry = Registry({"narrator": NARRATOR})
-            try:
-                renamed = registry.update([json.loads(x["item"]) for x in own])
-                out.append((json.dumps(registry.characters, ensure_ascii=False, sort_keys=True), renamed, None))
-            except RegistryError as e:
-                out.append((None, None, str(e)))
-        return pd.DataFrame(out, columns=["characters", "renamed", "error"])
-
-    return books.withColumn("r", run("items")).select("book_id", "r.characters", "r.renamed", "r.error")
+
+    def made(registry, renamed, error):
+        yield (None, None, error) if error else (json.dumps(registry.characters, ensure_ascii=False, sort_keys=True), list(renamed.items()), None)
+
+    return _walked(updates, made, "characters string; renamed map<string, string>; error string", [pa.string(), pa.map_(pa.string(), pa.string()), pa.string()])
+
+
+def merge_characters(updates: DataFrame) -> DataFrame:
+    """:func:`merge_books` with a row for each character: ``book_id, speaker_id, character`` (JSON) ``, items, error``.
+
+    ``items``: how many ids of updates are this character's. A book that fails is one row with ``error``.
+    """
+
+    def made(registry, renamed, error):
+        if error:
+            yield None, None, None, error
+            return
+        items = Counter(renamed.values())
+        for sid, c in registry.characters.items():
+            yield sid, json.dumps(c, ensure_ascii=False, sort_keys=True), items[sid], None
+
+    return _walked(updates, made, "speaker_id string; character string; items int; error string", [pa.string(), pa.string(), pa.int32(), pa.string()])
 
 
 def link_aliases(registry: DataFrame, updates: DataFrame) -> DataFrame:

@@ -53,11 +53,9 @@ def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every nation's customers as one book's updates; those of one name are one character, who has been found under all their ids."""
     c = V.table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
     item = F.struct(F.concat(F.lit("c"), F.col("c_custkey")).alias("speaker_id"), F.concat(F.lit("Name "), F.floor(F.col("c_custkey") / 40)).alias("name"), F.array("c_name", F.lit("he")).alias("aliases"), F.when(F.col("c_custkey") % 2 == 0, "f").otherwise("").alias("gender"))
-    made = registry.merge_books(c.select(F.col("c_nationkey").alias("book_id"), F.col("c_custkey").alias("nth"), item.alias("item")))
-    entry = "map<string, struct<name: string, aliases: array<string>, gender: string>>"
-    people = made.select("book_id", "renamed", F.explode(F.from_json("characters", entry)).alias("speaker_id", "p"))
-    items = F.size(F.filter(F.map_values("renamed"), lambda x: x == F.col("speaker_id")))
-    return people.select("book_id", "speaker_id", "p.name", F.array_join("p.aliases", ",").alias("aliases"), "p.gender", items.alias("n_items"))
+    made = registry.merge_characters(c.select(F.col("c_nationkey").alias("book_id"), F.col("c_custkey").alias("nth"), item.alias("item")))
+    people = made.where("speaker_id is not null").withColumn("p", F.from_json("character", "name string, aliases array<string>, gender string"))
+    return people.select("book_id", "speaker_id", "p.name", F.array_join("p.aliases", ",").alias("aliases"), "p.gender", F.col("items").alias("n_items"))
 
 
 @query(r"""

@@ -275,3 +275,20 @@ def test_a_library_of_any_size_is_cast_by_its_first_voices(spark):
     for book in "a":
         own = {s: v for b, s, v in fixed if b == book}
         assert got[book] == voices.assign([(s, g) for b, s, g in people if b == book], library, own)[0] == greedy([(s, g) for b, s, g in people if b == book], library, own)
+
+
+def test_registry_by_books_and_by_characters(spark, monkeypatch):
+    item = "struct<speaker_id: string, name: string, aliases: array<string>, gender: string>"
+    rows = [(b, n, (f"c{n}", f"Name {n // 3}", [f"Alias{b or 0}x{n}", "he"], "f" if n % 2 else "")) for b in (1, None, 2) for n in range(40)]
+    rows += [(3, 1, ("x", "X", [], "")), (3, 2, ("y", "Y", [], "")), (3, 3, ("z", "X", ["y"], "")), (3, 4, ("q", "Q", [], ""))]
+    df = spark.createDataFrame(rows, f"book_id long, nth int, item {item}").repartition(5)
+    whole = {r.book_id: r for r in registry.merge_books(df).collect()}
+    people = registry.merge_characters(df).collect()
+    assert whole[3].error == "aliases belong to several speakers" and [r.error for r in people if r.book_id == 3] == [whole[3].error]
+    for b in (1, None, 2):
+        own = registry.Registry({"narrator": registry.NARRATOR})
+        renamed = own.update([dict(zip(("speaker_id", "name", "aliases", "gender"), x[2])) for x in rows if x[0] == b])
+        assert json.loads(whole[b].characters) == own.characters and whole[b].renamed == renamed
+        got = {r.speaker_id: r for r in people if r.book_id == b}
+        assert {k: json.loads(r.character) for k, r in got.items()} == own.characters
+        assert {k: r["items"] for k, r in got.items()} == {k: list(renamed.values()).count(k) for k in own.characters}
