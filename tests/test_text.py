@@ -110,3 +110,14 @@ def test_response_json(spark):
 
 def test_python_pattern():
     assert re.match(T.python_pattern(T.SCRIPT_HEADING), "chapter 1") and not re.match(T.python_pattern(T.SCRIPT_HEADING), "chapters")
+
+
+def test_white_space_at_the_ends_is_unicodes(spark):
+    """Trimming by a list of characters takes what the pattern took."""
+    chars = spark.createDataFrame([(i, chr(i)) for i in range(0x10000) if not 0xD800 <= i <= 0xDFFF], "id int, c string")
+    text = F.concat("c", F.lit("a b"), "c", "c")
+    pairs = ((T.strip(text), r"(?U)^\s+|\s+$"), (T.lstrip(text), r"(?U)^\s+"), (T.rstrip(text), r"(?U)\s+$"))
+    for made, pattern in pairs:
+        assert chars.where(~made.eqNullSafe(F.regexp_replace(text, pattern, ""))).count() == 0 and chars.where(made != text).count() == 25
+    spaces = spark.createDataFrame([("a \t b",), ("a\tb",), ("a b  c",), ("\t\ta",)], "t string")
+    assert [r[0] for r in spaces.select(T.spoken_form(F.col("t"))).collect()] == ["a b", "a b", "a b c", "a"]
